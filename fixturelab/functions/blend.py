@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .odds import div
+from .odds import div, settled
 from .scores import score_outcomes
 
 RHO = -0.10
@@ -60,7 +60,7 @@ def blended_goals(df: DataFrame, form: float | str | Column, meet: float | str |
         x = F.when(F.col("_sx") > 0, div(total, "_sx")).otherwise(F.col(f"x{side}_hist"))
         return x if floor is None else F.greatest(F.lit(floor), x)
 
-    return df.select(*keep, mix("h").alias(names[0]), mix("a").alias(names[1]), F.col("_pq").alias(names[2]))
+    return df.select(*keep, settled(mix("h")).alias(names[0]), settled(mix("a")).alias(names[1]), F.col("_pq").alias(names[2]))
 
 
 def blend_1x2(df: DataFrame, form: float | str | Column = 0.0, meet: float | str | Column = 0.0,

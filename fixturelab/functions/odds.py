@@ -20,6 +20,16 @@ def div(a: str | Column, b: str | Column) -> Column:
     return F.try_divide(col(a), col(b))
 
 
+def settled(c: Column) -> Column:
+    """The same value, fenced off from predicate push-down.
+
+    A filter on the end of a long chain of projections is rewritten into the first one, copying
+    every shared sub-expression at each level until the plan no longer fits in memory. The guard is
+    always true; it only marks the expression as one the optimizer must not move.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
 def add(cols: Sequence[Column]) -> Column:
     total = cols[0]
     for c in cols[1:]:
@@ -67,7 +77,7 @@ def shin(df: DataFrame, odds: Sequence[str], out: Sequence[str]) -> DataFrame:
     if n == 2:
         half = (total - F.lit(1.0)) * F.lit(0.5)
         raw = [F.when(total <= 1.0, p * _inv(total)).otherwise(p - half) for p in pi]
-        return df.select(*keep, *[F.when(known, r).alias(o) for r, o in zip(raw, out)])
+        return df.select(*keep, *[settled(F.when(known, r)).alias(o) for r, o in zip(raw, out)])
     free = F.lit(n - 2.0)
     z = F.col("_shin_z")
     a = [F.col(f"_shin_a{i}") for i in range(n)]
@@ -98,7 +108,7 @@ def shin(df: DataFrame, odds: Sequence[str], out: Sequence[str]) -> DataFrame:
     df = df.select(*keep, *weight)
     w = [F.col(f"_shin_w{i}") for i in range(n)]
     return df.select(*keep, _inv(add(w)).alias("_shin_n"), *[f"_shin_w{i}" for i in range(n)]).select(
-        *keep, *[F.when(known, w_i * F.col("_shin_n")).alias(o) for w_i, o in zip(w, out)])
+        *keep, *[settled(F.when(known, w_i * F.col("_shin_n"))).alias(o) for w_i, o in zip(w, out)])
 
 
 def all_known(cols: Sequence[str | Column], above: float | None = None) -> Column:

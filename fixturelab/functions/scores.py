@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .odds import col
+from .odds import col, settled
 
 MAX_GOALS = 10
 
@@ -103,7 +101,7 @@ def score_outcomes(df: DataFrame, lam: str, mu: str, rho: float | str | Column,
     r = F.lit(rho) if isinstance(rho, (int, float)) else col(rho)
     df = score_sums(df, lam, mu, max_goals, prefix="_g_")
     cols = outcome_columns(F.col(lam), F.col(mu), r, "_g_", max_goals)
-    return df.select(*keep, *[cols[k].alias(v) for k, v in names.items()])
+    return df.select(*keep, *[settled(cols[k]).alias(v) for k, v in names.items()])
 
 
 def score_grid(df: DataFrame, lam: str, mu: str, rho: float | str | Column, out: str = "grid",
@@ -112,18 +110,23 @@ def score_grid(df: DataFrame, lam: str, mu: str, rho: float | str | Column, out:
     keep = df.columns
     r = F.lit(rho) if isinstance(rho, (int, float)) else col(rho)
     l, m = F.col(lam), F.col(mu)
+    steps = F.array(*[F.lit(float(k)) for k in range(1, max_goals + 1)])
+
+    def terms(x: Column) -> Column:
+        """x^k / k! for k = 0..max_goals."""
+        return F.aggregate(steps, F.array(F.lit(1.0)), lambda acc, k: F.concat(acc, F.array(F.element_at(acc, -1) * x / k)))
+
     df = score_sums(df, lam, mu, max_goals, prefix="_g_")
-    df = df.withColumn("_rho", bounded_rho(l, m, r))
-    rb, total = F.col("_rho"), F.col("_g_total")
-    cells = []
-    for i in range(max_goals + 1):
-        for j in range(max_goals + 1):
-            weight = F.lit(1.0 / (math.factorial(i) * math.factorial(j)))
-            p = weight * F.pow(l, F.lit(float(i))) * F.pow(m, F.lit(float(j)))
-            if i < 2 and j < 2:
-                p = p * low_score_factor(i, j, l, m, rb)
-            cells.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), (p / total).alias("p")))
-    return df.select(*keep, F.array(*cells).alias(out))
+    df = df.select("*", bounded_rho(l, m, r).alias("_rho"), terms(l).alias("_tl"), terms(m).alias("_tm"))
+    rb = F.col("_rho")
+
+    def cell(i: Column, j: Column, p: Column) -> Column:
+        low = F.when((i == 0) & (j == 0), low_score_factor(0, 0, l, m, rb)).when((i == 0) & (j == 1), low_score_factor(0, 1, l, m, rb))
+        low = low.when((i == 1) & (j == 0), low_score_factor(1, 0, l, m, rb)).when((i == 1) & (j == 1), low_score_factor(1, 1, l, m, rb))
+        return F.struct(i.alias("i"), j.alias("j"), (p * low.otherwise(F.lit(1.0)) / F.col("_g_total")).alias("p"))
+
+    grid = F.flatten(F.transform("_tl", lambda a, i: F.transform("_tm", lambda b, j: cell(i, j, a * b))))
+    return df.select(*keep, settled(grid).alias(out))
 
 
 def top_scores(df: DataFrame, lam: str, mu: str, rho: float | str | Column, n: int = 5, out: str = "top_scores",

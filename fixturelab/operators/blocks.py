@@ -61,11 +61,19 @@ def block_of(pos: str | Column, size: int) -> Column:
     return F.floor((F.col(pos) if isinstance(pos, str) else pos) / F.lit(size))
 
 
+def earlier_rows(cell: Sequence[str], order: Sequence[str], day: str | None = None) -> W:
+    """Frame of the rows before the current one, or of the days before its day."""
+    if day is not None:
+        return W.partitionBy(*cell).orderBy(day).rangeBetween(W.unboundedPreceding, -1)
+    return W.partitionBy(*cell).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+
+
 def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: str,
-                 sums: dict[str, Column]) -> DataFrame:
+                 sums: dict[str, Column], day: str | None = None) -> DataFrame:
     """Sums over all strictly earlier rows of the key, zero where there are none.
 
-    ``block`` must not decrease along ``order``.
+    ``block`` must not decrease along ``order``. With ``day`` (a day number that no block splits)
+    rows of the same day do not see each other.
     """
     names = list(sums)
     df = df.select("*", *[sums[n].alias(f"_v_{n}") for n in names])
@@ -73,7 +81,7 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], block
     earlier = W.partitionBy(*keys).orderBy(block).rowsBetween(W.unboundedPreceding, -1)
     carry = df.groupBy(*cell).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])
     carry = carry.select(*cell, *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_c_{n}") for n in names])
-    inside = W.partitionBy(*cell).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    inside = earlier_rows(cell, order, day)
     df = df.select("*", *[F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)).alias(f"_i_{n}") for n in names])
     df = df.join(carry, cell)
     for n in names:
@@ -94,8 +102,11 @@ def running_max(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
 
 
 def recent_rows(df: DataFrame, keys: Sequence[str], order: str, block: str, n: int, payload: Column,
-                out: str) -> DataFrame:
-    """``array`` of the payloads of the last ``n`` strictly earlier rows of the key, oldest first."""
+                out: str, day: str | None = None) -> DataFrame:
+    """``array`` of the payloads of the last ``n`` strictly earlier rows of the key, oldest first.
+
+    ``day`` as in :func:`running_sums`.
+    """
     cell = [*keys, block]
     df = df.withColumn("_p", payload)
     back = W.partitionBy(*cell).orderBy(F.desc(order))
@@ -108,11 +119,15 @@ def recent_rows(df: DataFrame, keys: Sequence[str], order: str, block: str, n: i
         .where(F.col("_k") == 1)
         .select(*cell, "_carry")
     )
-    own = F.collect_list("_p").over(W.partitionBy(*cell).orderBy(order).rowsBetween(-n, -1))
-    merged = F.concat(F.col("_carry"), F.col("_own"))
+    merged = F.concat(F.col("_carry"), F.coalesce(F.col("_own"), F.filter(F.array("_p"), lambda x: F.lit(False))))
+    if day is None:
+        df = df.withColumn("_own", F.collect_list("_p").over(first.rowsBetween(-n, -1)))
+    else:
+        # the list left by the last row of the days before
+        df = df.withColumn("_incl", F.struct(F.col(order).alias("o"), F.collect_list("_p").over(first.rowsBetween(1 - n, 0)).alias("l")))
+        df = df.withColumn("_own", F.max("_incl").over(earlier_rows(cell, [order], day))["l"]).drop("_incl")
     return (
-        df.withColumn("_own", own)
-        .join(carry, cell)
+        df.join(carry, cell)
         .withColumn(out, F.slice(merged, F.greatest(F.size(merged) - F.lit(n - 1), F.lit(1)), n))
         .drop("_p", "_own", "_carry")
     )

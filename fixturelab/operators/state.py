@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.odds import div
-from .blocks import block_of, recent_rows, running_sums, with_halo
+from .blocks import block_of, earlier_rows, recent_rows, running_sums, with_halo
 
 LOOKBACK = 1600
 HALF_LIFE = 730.0
@@ -171,23 +171,33 @@ def _rejoin(rows: DataFrame, by: list[str], kept: Sequence[str]) -> DataFrame:
 
 
 def unbounded_state(matches: DataFrame, half_life: float | None = HALF_LIFE, n_form: int = 3, n_meet: int = 10,
-                    block_rows: int = 1 << 16, epoch: str = "2000-01-01", carry: Sequence[str] = ()) -> DataFrame:
-    """The same state over all earlier matches of the league (no frame)."""
+                    block_rows: int = 1 << 16, epoch: str = "2000-01-01", carry: Sequence[str] = (),
+                    order: str = "row", block_days: int = 365) -> DataFrame:
+    """The same state over all earlier matches of the league (no frame).
+
+    ``order="row"``: every earlier row counts, also of the same day. ``order="day"``: earlier days only.
+    Adds ``run_home`` and ``run_away``, the plain goal means so far.
+    """
     base = matches.select("league", "season", "match_seq", "d", "home", "away", "gh", "ga", *carry)
     e = growth(F.col("d"), F.lit(epoch).cast("date"), half_life)
-    base = base.withColumn("_e", e).withColumn("_b", block_of("match_seq", block_rows))
+    base = base.withColumn("_e", e).withColumn("_day", F.unix_date("d").cast("long"))
+    if order == "row":
+        base, day = base.withColumn("_b", block_of("match_seq", block_rows)), None
+    elif order == "day":
+        base, day = base.withColumn("_b", block_of("_day", block_days)), "_day"
+    else:
+        raise ValueError(f"unknown order {order!r}")
     m = running_sums(base, ["league"], ["match_seq"], "_b", {
-        "_fw": F.col("_e"), "_fh": F.col("_e") * F.col("gh"), "_fa": F.col("_e") * F.col("ga")})
+        "_fw": F.col("_e"), "_fh": F.col("_e") * F.col("gh"), "_fa": F.col("_e") * F.col("ga"),
+        "_n": F.lit(1.0), "_sh": F.col("gh").cast("double"), "_sa": F.col("ga").cast("double")}, day)
     m = m.select("*", *pair_columns())
     m = recent_rows(m, ["league", "_lo", "_hi"], "match_seq", "_b", n_meet,
-                    F.struct("home", "gh", "ga"), "_met")
-    m = m.select("league", "_b", "season", "match_seq", "d", "home", "away", "gh", "ga", "_e", *carry,
-                 F.col("match_seq").alias("n_league"),
-                 F.when(F.col("_fw") > 0, F.col("_fh") / F.col("_fw")).alias("mean_home"),
-                 F.when(F.col("_fw") > 0, F.col("_fa") / F.col("_fw")).alias("mean_away"),
-                 *_meetings(F.col("_met")))
-    kept = [*carry, *LEAGUE_FIELDS, *MEETING_FIELDS]
-    rows = appearances(m, ["_b", "_e"])
+                    F.struct("home", "gh", "ga"), "_met", day)
+    m = m.select("league", "_b", "_day", "season", "match_seq", "d", "home", "away", "gh", "ga", "_e", *carry,
+                 F.col("match_seq").alias("n_league"), div("_fh", "_fw").alias("mean_home"), div("_fa", "_fw").alias("mean_away"),
+                 div("_sh", "_n").alias("run_home"), div("_sa", "_n").alias("run_away"), *_meetings(F.col("_met")))
+    kept = [*carry, *LEAGUE_FIELDS, "run_home", "run_away", *MEETING_FIELDS]
+    rows = appearances(m, ["_b", "_e", "_day"])
     at_home = F.col("venue") == "H"
     e = F.col("_e")
     sums = {"n_prior": F.lit(1)}
@@ -195,15 +205,15 @@ def unbounded_state(matches: DataFrame, half_life: float | None = HALF_LIFE, n_f
         sums[f"_w{v}"] = F.when(here, e).otherwise(0.0)
         sums[f"_f{v}"] = F.when(here, e * F.col("gf")).otherwise(0.0)
         sums[f"_g{v}"] = F.when(here, e * F.col("ga")).otherwise(0.0)
-    rows = running_sums(rows, ["league", "team"], ["match_seq"], "_b", sums)
-    rows = _last_by_venue(rows, n_form, F.struct("match_seq", "gf", "ga"))
+    rows = running_sums(rows, ["league", "team"], ["match_seq"], "_b", sums, day)
+    rows = _last_by_venue(rows, n_form, F.struct("match_seq", "gf", "ga"), day)
     own = F.when(at_home, F.col("_hl")).otherwise(F.col("_al"))
 
     def venue(prefix: str) -> Column:
         return F.when(at_home, F.col(f"{prefix}h")).otherwise(F.col(f"{prefix}a"))
 
     rows = rows.withColumn("w_venue", venue("_w"))
-    ratio = lambda p: F.when(F.col("w_venue") > 0, venue(p) / F.col("w_venue")).otherwise(F.lit(0.0))
+    ratio = lambda p: F.coalesce(div(venue(p), "w_venue"), F.lit(0.0))
     rows = rows.select("league", "season", "match_seq", "d", "team", "venue", "gf", "ga", "n_prior", "w_venue",
                        ratio("_f").alias("gf_venue"), ratio("_g").alias("ga_venue"),
                        *_form_columns(own, F.col("_hl"), F.col("_al")))
@@ -211,7 +221,7 @@ def unbounded_state(matches: DataFrame, half_life: float | None = HALF_LIFE, n_f
     return state.join(m.select("league", "match_seq", *kept), ["league", "match_seq"])
 
 
-def _last_by_venue(rows: DataFrame, n: int, payload: Column) -> DataFrame:
+def _last_by_venue(rows: DataFrame, n: int, payload: Column, day: str | None = None) -> DataFrame:
     """Last ``n`` home rows (``_hl``) and last ``n`` away rows (``_al``) of the team before each row.
 
     Each block leaves at most n rows per team and venue; a block starts from the last n of those.
@@ -235,9 +245,11 @@ def _last_by_venue(rows: DataFrame, n: int, payload: Column) -> DataFrame:
         .groupBy(*cell)
         .agg(F.max(F.when(at_home, F.col("_left"))).alias("_ch"), F.max(F.when(~at_home, F.col("_left"))).alias("_ca"))
     )
-    by_team = W.partitionBy(*cell).orderBy("match_seq").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.select("*", F.last(F.when(at_home, F.col("_last")), ignorenulls=True).over(by_team).alias("_hl"),
-                       F.last(F.when(~at_home, F.col("_last")), ignorenulls=True).over(by_team).alias("_al"))
+    before = earlier_rows(cell, ["match_seq"], day)
+    # the list left by the latest earlier row of the venue
+    left = F.struct("match_seq", F.col("_last").alias("l"))
+    latest = lambda here: F.max(F.when(here, left)).over(before)["l"]
+    rows = rows.select("*", latest(at_home).alias("_hl"), latest(~at_home).alias("_al"))
     rows = rows.join(carry, cell)
     none = F.filter(F.array("_p"), lambda x: F.lit(False))
     for have, c in (("_hl", "_ch"), ("_al", "_ca")):

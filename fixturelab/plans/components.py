@@ -30,6 +30,7 @@ class FeatureConfig:
     odds_source: str = "closing"
     odds_method: str = "shin"
     block_rows: int | None = None
+    order: str = "row"
 
     def key(self) -> dict:
         return asdict(self)
@@ -103,11 +104,13 @@ def components(matches: DataFrame, config: FeatureConfig = FeatureConfig(), seas
             (F.min("match_seq") - F.lit(config.lookback)).alias("_from"))
         matches = matches.join(F.broadcast(starts), "league").where(F.col("match_seq") >= F.col("_from")).drop("_from")
     if config.lookback is not None:
+        if config.order != "row":
+            raise ValueError("a frame of rows needs order='row'")
         state = bounded_state(matches, config.lookback, config.half_life, config.n_form, config.n_meet,
                               config.block_rows, carry)
     else:
         state = unbounded_state(matches, config.half_life, config.n_form, config.n_meet, carry=carry,
-                                **({"block_rows": config.block_rows} if config.block_rows else {}))
+                                order=config.order, **({"block_rows": config.block_rows} if config.block_rows else {}))
     state = state.where((F.col("n_league") >= config.min_history) & (F.col("h_n_prior") > 0) & (F.col("a_n_prior") > 0))
     if seasons is not None:
         state = state.where(F.col("season").isin(list(seasons)))
@@ -115,6 +118,8 @@ def components(matches: DataFrame, config: FeatureConfig = FeatureConfig(), seas
     if config.league_means == "plain":
         state = state.join(plain_means(matches), ["league", "season"])
         mean_home, mean_away = F.col("plain_home"), F.col("plain_away")
+    elif config.league_means == "running":
+        mean_home, mean_away = F.col("run_home"), F.col("run_away")
     elif config.league_means != "weighted":
         raise ValueError(f"unknown league mean mode {config.league_means!r}")
     state = state.select(
