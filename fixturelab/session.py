@@ -4,42 +4,51 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
-from pyspark.sql import SparkSession
-
-
-def local_session(name: str = "fixturelab", cores: str | int = 8, partitions: int = 8) -> SparkSession:
-    """A session for tests and the benchmark; a cluster brings its own."""
-    return (
-        SparkSession.builder.master(f"local[{cores}]")
-        .appName(name)
-        .config("spark.sql.shuffle.partitions", str(partitions))
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("FIXTURELAB_DRIVER_MEMORY", "12g"))
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
-    )
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a test) gets a folder of its own.
+    A local session without that setting (a test) gets a folder of its own; a cluster session
+    without it is refused, since each executor would write to its own disk.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named is None:
-        named = context.getCheckpointDir()
-    if named is None:
+        master = context.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="fixturelab-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named
 
 
-def cut_lineage(df):
+def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder (survives the loss of executors)."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable by the Python workers, wherever they run."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="fixturelab-code-")
+    archive = os.path.join(folder, "fixturelab_code.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for base, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(base, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(package)))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
