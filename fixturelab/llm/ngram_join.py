@@ -1,12 +1,12 @@
 """N-gram Jaccard join: MinHash banding, a shuffle on band hashes, and exact verification.
 
 Texts with equal n-gram sets form a class; one representative of each class goes on. Band and row
-counts are chosen for a target recall at the threshold. A bucket (equal band hashes) is never paired
-with itself as a whole: each member is first compared with the bucket's smallest member, and members
-within half the allowed distance of such a centre form its ball. Jaccard distance is a metric, so
-any two members of a ball are linked and need no comparison of their own. Balls that share a bucket
-are then compared centre by centre, and only balls whose centres are near enough to hold a link are
-opened. Large groups of near copies therefore cost rows in proportion to their size.
+counts are chosen for a target recall at the threshold. Representatives that share a bucket (equal
+band hashes) belong to one candidate group, found by linking each member to the smallest member of
+its buckets. Groups are dealt into blocks of bounded size, and a task compares two blocks that share
+a bucket on their full n-gram sets. It returns the number of links of each member and edges that
+connect what is linked, never the pairs, so that a large group of near copies costs rows in
+proportion to its size.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from fixturelab.llm.common import NULL_ID, fresh, map_arrow, slices, written
+from fixturelab.session import ship_package
 
 #: Words that a worker remembers by their hash; the memory is emptied beyond. It changes speed only.
 REMEMBERED = 500_000
@@ -77,21 +78,38 @@ def _permutations(count: int) -> tuple[np.ndarray, np.ndarray]:
     return state[:count] | np.uint64(1), state[count:]
 
 
-def band_hashes(grams: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One hash for each band, of its row minima under as many permutations."""
+def band_hashes(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
+    """For each set (none empty), one hash for each band of its row minima under as many permutations."""
     scale, shift = _permutations(bands * rows)
-    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
-    for low in range(0, len(grams), 4096):
-        some = grams[low : low + 4096]
+    least = np.full((len(sets), bands * rows), np.iinfo(np.uint64).max, np.uint64)
+
+    def lower(owners: list[int], parts: list[np.ndarray]) -> None:
+        flat = np.concatenate(parts)
+        starts = np.cumsum([0, *(len(x) for x in parts[:-1])])
+        value, high = np.empty_like(flat), np.empty_like(flat)
         for at in range(bands * rows):
-            value = some * scale[at]
+            np.multiply(flat, scale[at], out=value)
             value += shift[at]
-            value ^= value >> np.uint64(32)
-            least[at] = min(least[at], value.min())
-    least = least.reshape(bands, rows)
-    out = np.arange(1, bands + 1, dtype=np.uint64)
+            np.right_shift(value, np.uint64(32), out=high)
+            value ^= high
+            least[owners, at] = np.minimum(least[owners, at], np.minimum.reduceat(value, starts))
+
+    owners, parts, held = [], [], 0
+    for owner, grams in enumerate(sets):
+        for low in range(0, len(grams), 16_384):
+            part = grams[low : low + 16_384]
+            if held + len(part) > 16_384 or owner in owners[-1:]:
+                lower(owners, parts)
+                owners, parts, held = [], [], 0
+            owners.append(owner)
+            parts.append(part)
+            held += len(part)
+    if parts:
+        lower(owners, parts)
+    out = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(sets), 1))
+    least = least.reshape(len(sets), bands, rows)
     for k in range(rows):
-        out = _mixed(out * _ODD[0] + least[:, k])
+        out = _mixed(out * _ODD[0] + least[:, :, k])
     return out
 
 
@@ -104,12 +122,11 @@ def signatures(rows: DataFrame, n: int, bands: int, rows_per_band: int) -> DataF
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
-                classes, sizes, hashes = [], [], []
-                for text in part.column(1).to_pylist():
-                    grams = ngrams(text or "", n)
-                    sizes.append(len(grams))
-                    classes.append(xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else None)
-                    hashes.append(band_hashes(grams, bands, rows_per_band).view(np.int64) if len(grams) else None)
+                sets = [ngrams(text or "", n) for text in part.column(1).to_pylist()]
+                sizes = [len(x) for x in sets]
+                classes = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
+                found = iter(band_hashes([x for x in sets if len(x)], bands, rows_per_band).view(np.int64))
+                hashes = [next(found) if size else None for size in sizes]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
@@ -123,24 +140,6 @@ def signatures(rows: DataFrame, n: int, bands: int, rows_per_band: int) -> DataF
     return map_arrow(rows, sign, "id long, cls binary, size long, bands array<long>")
 
 
-def similarities(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Pairs (``a``, ``b`` and their set sizes) with the exact Jaccard similarity ``j`` of at least ``least``.
-
-    The two sizes bound the similarity from above, so hopeless pairs go before any set is fetched.
-    """
-    hopeful = pairs.where(F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b"))
-    left = sets.select(F.col("cls").alias("a"), F.col("grams").alias("grams_a"))
-    right = sets.select(F.col("cls").alias("b"), F.col("grams").alias("grams_b"))
-    common = F.size(F.array_intersect("grams_a", "grams_b"))
-    return (
-        hopeful.join(left, "a")
-        .join(right, "b")
-        .withColumn("j", common / (F.col("size_a") + F.col("size_b") - common))
-        .where(F.col("j") >= least)
-        .select("a", "b", "j")
-    )
-
-
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``node`` and ``label`` (the smallest node of its component) of all nodes of the edges ``a``, ``b``.
 
@@ -166,77 +165,105 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle; the graph holds paths longer than 2 ** rounds")
 
 
-def links(representatives: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Centres (``cls``, ``centre``) of all representatives that met another one, and links (``a``,
-    ``b``, ``j``) between representatives of different balls. Two members of one ball are linked too.
-    """
-    half = 1 - (1 - threshold) / 2
-    apart = 1 - 2 * (1 - threshold)
-    buckets = representatives.select("cls", "size", F.posexplode("bands").alias("band", "hash"))
-    heads = buckets.groupBy("band", "hash").agg(
-        F.min(F.struct("cls", "size")).alias("head"), F.count("*").alias("members")
-    )
-    heads = heads.where("members > 1").select("band", "hash", F.col("head.cls").alias("b"), F.col("head.size").alias("size_b"))
-    met = written(
-        buckets.join(heads, ["band", "hash"]).select(
-            "band", "hash", "cls", "size", F.col("b").alias("head"), F.col("size_b").alias("head_size")
-        ),
-        "buckets",
-    )
-    spokes = (
-        met.where("cls != head")
-        .select(F.col("cls").alias("a"), F.col("size").alias("size_a"), F.col("head").alias("b"), F.col("head_size").alias("size_b"))
-        .distinct()
-    )
-    near = written(similarities(spokes, sets, half), "spokes")
-    # a member belongs to the ball of its smallest near head that is in no other ball itself
-    taken = near.select(F.col("a").alias("b")).distinct()
-    free = near.join(taken, "b", "left_anti")
-    balls = written(free.groupBy(F.col("a").alias("cls")).agg(F.min("b").alias("centre")), "balls")
-    centred = met.join(balls, "cls", "left").withColumn("centre", F.coalesce("centre", "cls"))
-    # balls that share a bucket, centre against centre; each pair of balls once
-    at = written(centred.groupBy("band", "hash", "centre").agg(F.max("size").alias("most"), F.min("size").alias("fewest")), "bucket-balls")
-    one = at.select("band", "hash", F.col("centre").alias("a"))
-    two = at.select("band", "hash", F.col("centre").alias("b"))
-    sizes = representatives.select("cls", "size")
-    meeting = one.join(two, ["band", "hash"]).where("a < b").select("a", "b").distinct()
-    meeting = (
-        meeting.join(sizes.select(F.col("cls").alias("a"), F.col("size").alias("size_a")), "a")
-        .join(sizes.select(F.col("cls").alias("b"), F.col("size").alias("size_b")), "b")
-    )
-    crowds = balls.select(F.col("centre").alias("cls")).distinct().withColumn("crowd", F.lit(True))
-    flagged = (
-        meeting.join(crowds.select(F.col("cls").alias("a"), F.col("crowd").alias("crowd_a")), "a", "left")
-        .join(crowds.select(F.col("cls").alias("b"), F.col("crowd").alias("crowd_b")), "b", "left")
-        .withColumn("open", F.coalesce("crowd_a", F.lit(False)) | F.coalesce("crowd_b", F.lit(False)))
+def candidate_groups(representatives: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Buckets of two members or more (``bucket``, ``cls``), and the ``grp`` of each of their members."""
+    buckets = representatives.select("cls", F.posexplode("bands").alias("band", "hash")).select(
+        "cls", F.xxhash64("band", "hash").alias("bucket")
     )
-    # two lone representatives must be as near as the threshold; balls may hold a link further apart
-    wanted = F.when(F.col("open"), F.lit(max(apart, 0.0))).otherwise(F.lit(threshold))
-    hopeful = flagged.where(F.least("size_a", "size_b") >= wanted * F.greatest("size_a", "size_b"))
-    compared = written(
-        similarities(hopeful.select("a", "b", "size_a", "size_b"), sets, max(apart, 0.0)).join(
-            hopeful.select("a", "b", "open"), ["a", "b"]
-        ),
-        "centres",
-    )
-    between = compared.where(F.col("j") >= threshold).select("a", "b", "j")
-    opened = compared.where("open").select(F.col("a").alias("centre"), F.col("b").alias("other"))
-    members = centred.select("band", "hash", "centre", "cls", "size")
-    left = members.join(opened, "centre").select(
-        "band", "hash", F.col("centre").alias("ca"), F.col("other").alias("cb"), F.col("cls").alias("a"), F.col("size").alias("size_a")
-    )
-    right = members.select(
-        "band", "hash", F.col("centre").alias("cb"), F.col("cls").alias("b"), F.col("size").alias("size_b")
-    )
-    inside = (
-        left.join(right, ["band", "hash", "cb"])
-        .where("not (a = ca and b = cb)")
-        .where(F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b"))
-        .select("a", "b", "size_a", "size_b")
-        .distinct()
-    )
-    across = written(between.unionAll(similarities(inside, sets, threshold)), "links")
-    return balls, across
+    heads = buckets.groupBy("bucket").agg(F.min("cls").alias("head"), F.max("cls").alias("last")).where("head < last")
+    met = written(buckets.join(heads.select("bucket", "head"), "bucket"), "buckets")
+    spokes = met.where("cls != head").select(F.col("cls").alias("a"), F.col("head").alias("b")).distinct()
+    return met.select("bucket", "cls"), components(spokes).withColumnRenamed("label", "grp")
+
+
+def blocks(groups: DataFrame, sizes: DataFrame, block_grams: int) -> DataFrame:
+    """``cls`` and ``block``: whole groups share blocks of about ``block_grams`` n-grams; a larger group
+    gets blocks of its own. A block is named by two numbers in one string."""
+    members = groups.select(F.col("node").alias("cls"), "grp").join(sizes, "cls")
+    totals = written(members.groupBy("grp").agg(F.sum("size").alias("total")), "totals")
+    small = totals.where(F.col("total") <= block_grams).agg(F.sum("total")).first()[0] or 0
+    shared = max(1, -(-small // block_grams))
+    parts = F.ceil(F.col("total") / block_grams)
+    name = F.when(
+        F.col("total") <= block_grams, F.concat(F.lit("s"), F.pmod(F.xxhash64("grp"), F.lit(shared)).cast("string"))
+    ).otherwise(F.concat(F.hex("grp"), F.lit("-"), F.pmod(F.xxhash64("cls"), parts).cast("string")))
+    return written(members.join(totals, "grp").select("cls", name.alias("block")), "blocks")
+
+
+def tiles(met: DataFrame, placed: DataFrame) -> DataFrame:
+    """``one`` <= ``two``: every block with itself, and blocks that share a bucket."""
+    inside = met.join(placed, "cls").select("bucket", "block").distinct()
+    spread = inside.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    wide = written(inside.join(spread, "bucket", "left_semi"), "wide-buckets")
+    other = wide.select("bucket", F.col("block").alias("two"))
+    across = wide.withColumnRenamed("block", "one").join(other, "bucket").where("one < two").select("one", "two")
+    alone = placed.select(F.col("block").alias("one"), F.col("block").alias("two"))
+    return across.distinct().unionAll(alone.distinct())
+
+
+def compare_sets(
+    sets: list[np.ndarray], first: np.ndarray, same: bool, threshold: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Number of links of each set, and the smallest position that links connect it with.
+
+    ``same``: all sets against each other; else those of the first block against the others.
+    """
+    count = len(sets)
+    sizes = np.array([len(x) for x in sets])
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    _, gram, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    holder = np.repeat(np.arange(count), sizes)[np.argsort(gram, kind="stable")]
+    begin = np.concatenate([[0], np.cumsum(df)[:-1]])
+    links, label = np.zeros(count, np.int64), np.arange(count)
+    for at in range(count) if same else np.flatnonzero(first).tolist():
+        own = gram[bounds[at] : bounds[at + 1]]
+        own = own[df[own] > 1]
+        if not len(own):
+            continue
+        many = df[own]
+        total = int(many.sum())
+        places = np.repeat(begin[own] - (np.cumsum(many) - many), many) + np.arange(total)
+        common = np.bincount(holder[places], minlength=count)
+        common[at] = 0
+        if not same:
+            common[first] = 0
+        near = np.flatnonzero(common >= threshold * (sizes + sizes[at] - common) - 1e-9)
+        near = near[common[near] > 0]
+        if len(near):
+            links[at] += len(near)
+            if not same:
+                links[near] += 1
+            joined = np.unique(np.append(label[near], label[at]))
+            if len(joined) > 1:
+                label[np.isin(label, joined)] = joined[0]
+    return links, label
+
+
+def verified(pairs: DataFrame, placed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """``cls``, ``links`` and ``root`` (a member it is connected with) from each tile it is in."""
+    numbered = pairs.withColumn("tile", F.concat_ws("|", "one", "two"))
+    one = numbered.select("tile", F.col("one").alias("block"), F.lit(True).alias("first"), (F.col("one") == F.col("two")).alias("same"))
+    two = numbered.where("one < two").select("tile", F.col("two").alias("block"), F.lit(False).alias("first"), F.lit(False).alias("same"))
+    members = one.unionAll(two).join(placed, "block").join(sets, "cls").select("tile", "cls", "first", "same", "grams")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by("cls").combine_chunks()
+        flat = table.column("grams").combine_chunks()
+        flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
+        ends = flat.offsets.to_numpy()
+        values = flat.values.to_numpy()
+        own = [values[low:high] for low, high in zip(ends[:-1], ends[1:])]
+        first = table.column("first").to_numpy().astype(bool)
+        links, label = compare_sets(own, first, bool(table.column("same")[0].as_py()), threshold)
+        names = table.column("cls").combine_chunks()
+        names = names.chunk(0) if isinstance(names, pa.ChunkedArray) else names
+        found = pa.array(links > 0)
+        return pa.table(
+            {"cls": names.filter(found), "links": pa.array(links).filter(found), "root": names.take(pa.array(label)).filter(found)}
+        )
+
+    ship_package(members.sparkSession)
+    return members.groupBy("tile").applyInArrow(compare, "cls binary, links long, root binary")
 
 
 def jaccard_join(
@@ -245,6 +272,7 @@ def jaccard_join(
     n: int = 5,
     recall: float = 0.995,
     rows_per_band: int = 6,
+    block_grams: int = 200_000,
     key: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
@@ -272,35 +300,26 @@ def jaccard_join(
     firsts = worded.join(classes.select("cls", F.col("rep").alias("id")), ["cls", "id"], "left_semi")
     representatives = firsts.dropDuplicates(["cls"]).select("cls", "id", "size", "bands")
     representatives = written(representatives, "representatives")
-    involved = written(_involved(representatives), "involved")
+    met, groups = candidate_groups(representatives)
+    involved = groups.select(F.col("node").alias("cls")).join(representatives.select("cls", "id"), "cls")
     sets = written(_sets_of(rows, involved, n), "grams")
-    balls, across = links(representatives, sets, threshold)
-    edges = across.select("a", "b").unionAll(balls.select(F.col("cls").alias("a"), F.col("centre").alias("b")))
-    joined = components(edges)
-    reps = classes.select(F.col("cls").alias("node"), "rep")
+    placed = blocks(groups, representatives.select("cls", "size"), block_grams)
+    found = written(verified(tiles(met, placed), placed, sets, threshold), "links")
+    degree = found.groupBy("cls").agg(F.sum("links").alias("links"))
+    joined = components(found.where("cls != root").select(F.col("cls").alias("a"), F.col("root").alias("b")))
     # labels are hashes; the class id is the smallest document id below a label
-    groups = written(joined.join(reps, "node"), "groups")
-    ids = groups.groupBy("label").agg(F.min("rep").alias("class_id"))
-    numbered = groups.join(ids, "label").select(F.col("node").alias("cls"), "class_id")
-    degree = (
-        across.select(F.col("a").alias("cls"))
-        .unionAll(across.select(F.col("b").alias("cls")))
-        .groupBy("cls")
-        .agg(F.count("*").alias("across"))
-    )
-    inside = balls.unionAll(balls.select(F.col("centre").alias("cls"), "centre").distinct())
-    crowd = inside.groupBy("centre").agg((F.count("*") - 1).alias("within"))
-    within = inside.join(crowd, "centre").select("cls", "within")
+    named = written(joined.join(classes.select(F.col("cls").alias("node"), "rep"), "node"), "named")
+    ids = named.groupBy("label").agg(F.min("rep").alias("class_id"))
+    numbered = named.join(ids, "label").select(F.col("node").alias("cls"), "class_id")
     about = (
         classes.join(numbered, "cls", "left")
         .join(degree, "cls", "left")
-        .join(within, "cls", "left")
         .select(
             "cls",
             F.col("rep").alias("rep_id"),
             F.col("copies").alias("n_copies"),
             F.coalesce("class_id", "rep").alias("class_id"),
-            (F.coalesce("across", F.lit(0)) + F.coalesce("within", F.lit(0))).alias("n_links"),
+            F.coalesce("links", F.lit(0)).alias("n_links"),
         )
     )
     out = signed.select("id", "cls").join(about, "cls", "left")
@@ -317,13 +336,6 @@ def jaccard_join(
     )
 
 
-def _involved(representatives: DataFrame) -> DataFrame:
-    """Representatives that share a bucket with another one: only their sets are ever compared."""
-    buckets = representatives.select("cls", "id", F.posexplode("bands").alias("band", "hash"))
-    crowded = buckets.groupBy("band", "hash").agg(F.count("*").alias("members")).where("members > 1")
-    return buckets.join(crowded, ["band", "hash"], "left_semi").select("cls", "id").distinct()
-
-
 def _sets_of(rows: DataFrame, involved: DataFrame, n: int) -> DataFrame:
     """The n-gram set of each involved class, from the text of its smallest id."""
     wanted = rows.join(involved.select("id").distinct(), "id", "left_semi")
