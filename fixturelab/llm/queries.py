@@ -8,9 +8,29 @@ import public_tokenizers
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from fixturelab.llm import bpe, line_dedup, ngram_join, packing, quality, sharding, token_counts, toxicity
+from fixturelab.llm import (
+    bpe,
+    decontaminate,
+    line_dedup,
+    ngram_join,
+    packing,
+    quality,
+    sharding,
+    token_counts,
+    toxicity,
+    urls,
+)
 from fixturelab.llm.common import table
 
+#: Rules of the URL filter: verdict, host, path.
+URL_RULES: list[urls.Rule] = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -31,6 +51,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @register
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode_documents(
@@ -67,6 +92,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digest(line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+@register
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 @register
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(
