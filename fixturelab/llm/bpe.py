@@ -249,14 +249,15 @@ def encode_documents(
 def decode_ids(spark: SparkSession, encoded: DataFrame, rank_path: str, pattern: str, ids: str = "ids") -> DataFrame:
     """The encoded table with the bytes of ``ids`` decoded into a column ``decoded``; null ids stay null."""
     ranks = spark.sparkContext.broadcast(load_ranks(rank_path))
-    at = encoded.columns.index(ids)
-    kept = [c for c in encoded.columns if c != "decoded"]
+    names = list(encoded.columns)
+    at = names.index(ids)
+    kept = [c for c in names if c != "decoded"]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(ranks.value, pattern)
         for batch in batches:
             texts = [None if x is None else coder.decode(x) for x in batch.column(at).to_pylist()]
-            columns = [batch.column(encoded.columns.index(c)) for c in kept]
+            columns = [batch.column(names.index(c)) for c in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.binary())], names=[*kept, "decoded"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in encoded.dtypes if c in kept)

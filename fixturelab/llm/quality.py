@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 SYMBOLS = "#*$%&|<>"
 
 #: The text without nulls, its separators turned to spaces, its words and its lines with a word.
-_SEPARATORS = r"\t\n\u000B\f\r"
+_SEPARATORS = r"\t\n\u000B\u000C\r"
 _PLAIN = f"translate(_text, '{_SEPARATORS}', '     ')"
 _WORDS = f"filter(split({_PLAIN}, ' '), x -> x != '')"
 _GRAMS = (

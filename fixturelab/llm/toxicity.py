@@ -30,11 +30,11 @@ class Settings:
 
     sample: int = 20_000
     buckets: int = 1 << 20
-    epochs: int = 3
-    alpha: float = 0.3
+    epochs: int = 5
+    alpha: float = 2.0
     beta: float = 1.0
-    l1: float = 1.0
-    l2: float = 1.0
+    l1: float = 8.0
+    l2: float = 0.0
 
 
 class Words(dict):

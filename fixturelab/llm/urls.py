@@ -68,7 +68,7 @@ def contexts(urls: list[str], settings: Settings) -> tuple[np.ndarray, np.ndarra
     context and of the context with the byte."""
     raw = [x.encode() + b"\x00" for x in urls]
     flat = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
-    sizes = np.array([len(x) for x in raw])
+    sizes = np.array([len(x) for x in raw], np.int64)
     owner = np.repeat(np.arange(len(raw)), sizes)
     place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     context = np.zeros(len(flat), np.uint64)
