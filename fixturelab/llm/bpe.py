@@ -21,12 +21,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fixturelab.llm.common import map_arrow, slices
+from fixturelab.llm.common import kept, map_arrow, slices
 
 #: Pieces longer than this are encoded each time; shorter ones are remembered by a worker.
 REMEMBERED_CHARS = 48
 #: Remembered pieces of a worker; the memory is emptied beyond. It changes speed only.
-REMEMBERED = 600_000
+REMEMBERED = 500_000
 
 
 def load_ranks(path: str) -> bytes:
@@ -204,15 +204,10 @@ class Encoder:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
-
-
 def encoder(rank_data: bytes, pattern: str) -> Encoder:
     """One encoder for each vocabulary in a worker, so that later tasks find its memory filled."""
-    key = hashlib.sha256(rank_data).hexdigest(), pattern
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(rank_data, pattern)
-    return _ENCODERS[key]
+    name = hashlib.sha256(rank_data).hexdigest(), pattern
+    return kept("bpe", name, lambda: Encoder(rank_data, pattern))
 
 
 def encode_documents(
@@ -251,16 +246,16 @@ def decode_ids(spark: SparkSession, encoded: DataFrame, rank_path: str, pattern:
     ranks = spark.sparkContext.broadcast(load_ranks(rank_path))
     names = list(encoded.columns)
     at = names.index(ids)
-    kept = [c for c in names if c != "decoded"]
+    others = [c for c in names if c != "decoded"]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(ranks.value, pattern)
         for batch in batches:
             texts = [None if x is None else coder.decode(x) for x in batch.column(at).to_pylist()]
-            columns = [batch.column(names.index(c)) for c in kept]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.binary())], names=[*kept, "decoded"])
+            columns = [batch.column(names.index(c)) for c in others]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.binary())], names=[*others, "decoded"])
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in encoded.dtypes if c in kept)
+    schema = ", ".join(f"`{c}` {t}" for c, t in encoded.dtypes if c in others)
     return map_arrow(encoded, decode, f"{schema}, decoded binary")
 
 

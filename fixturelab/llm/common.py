@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -62,6 +62,21 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = 8_000_000) -> Iterat
         yield batch.slice(start)
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(owner: str, name: object, make: Callable[[], object]):
+    """What an operator remembers in a process, made on first use.
+
+    A Python worker serves one task after another, of any operator; it holds the memory of one only,
+    so that a pipeline's stages don't add up.
+    """
+    if (owner, name) not in _KEPT:
+        _KEPT.clear()
+        _KEPT[owner, name] = make()
+    return _KEPT[owner, name]
+
+
 def n_bytes(text: Column) -> Column:
     """UTF-8 bytes of a text, 0 for null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

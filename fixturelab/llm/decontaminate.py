@@ -23,12 +23,12 @@ import pyspark.sql.functions as F
 import xxhash
 from pyspark.sql import DataFrame
 
-from fixturelab.llm.common import fresh, map_arrow, slices
+from fixturelab.llm.common import fresh, kept, map_arrow, slices
 
 #: Marks dropped from both ends of a word before words are compared.
 MARKS = ".,;:!?\"'()[]{}<>|*%&$#-_/\\`~^+="
 #: Words that a worker remembers by number; the memory is emptied beyond. It changes speed only.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 
 @dataclass(frozen=True)
@@ -292,8 +292,6 @@ class Index:
             yield owner, item, edits, first, end
 
 
-_INDEXES: dict[str, Index] = {}
-
 _SCHEMA = "item_key string, n_words int, edits int, first_word long, end_word long"
 
 
@@ -306,10 +304,7 @@ def _find(docs: DataFrame, items: list[tuple[str, str]], settings: Settings) ->
     )
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _INDEXES:
-            _INDEXES.clear()
-            _INDEXES[name] = Index(shared.value, settings)
-        index = _INDEXES[name]
+        index = kept("decontamination", name, lambda: Index(shared.value, settings))
         for batch in batches:
             for part in slices(batch, 1, 4_000_000):
                 found = list(index.matches([x or "" for x in part.column(1).to_pylist()]))

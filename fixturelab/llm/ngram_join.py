@@ -19,11 +19,11 @@ import pyspark.sql.functions as F
 import xxhash
 from pyspark.sql import DataFrame
 
-from fixturelab.llm.common import NULL_ID, fresh, map_arrow, slices, written
+from fixturelab.llm.common import NULL_ID, fresh, kept, map_arrow, slices, written
 from fixturelab.session import ship_package
 
 #: Words that a worker remembers by their hash; the memory is emptied beyond. It changes speed only.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 
 def bands_for(threshold: float, recall: float, rows: int) -> int:
@@ -44,8 +44,6 @@ class Words(dict):
         return value
 
 
-WORDS = Words()
-
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -57,7 +55,8 @@ def _mixed(values: np.ndarray) -> np.ndarray:
 
 def ngrams(text: str, n: int) -> np.ndarray:
     """Sorted distinct hashes of all word n-grams; a text of fewer words has one gram of all of them."""
-    words = np.fromiter(map(WORDS.__getitem__, text.translate(_SPACE).split(" ")), np.uint64)
+    known = kept("n-grams", "words", Words)
+    words = np.fromiter(map(known.__getitem__, text.translate(_SPACE).split(" ")), np.uint64)
     words = words[words != _EMPTY]
     if not len(words):
         return words

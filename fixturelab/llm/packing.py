@@ -8,6 +8,7 @@ over the remaining capacities.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from fixturelab.llm.bpe import Stretches, load_ranks, parse_ranks
-from fixturelab.llm.common import map_arrow, slices
+from fixturelab.llm.common import kept, map_arrow, slices
 
 #: Pieces packed together; a round for 2,048-token rows then holds at most 32 MB of ids.
 ROUND = 4096
@@ -79,17 +80,14 @@ def best_fit_decreasing(sizes: list[int], length: int) -> list[list[int]]:
     return bins
 
 
-_ENCODERS: dict[str, Stretches] = {}
-
-
 def id_stretches(ranks: bytes, pattern: str) -> Stretches:
-    key = f"{hash(ranks)}{pattern}"
-    if key not in _ENCODERS:
+    def make() -> Stretches:
         encode = tiktoken.Encoding(
             "own", pat_str=pattern, mergeable_ranks=parse_ranks(ranks), special_tokens={}
         ).encode_ordinary
-        _ENCODERS[key] = Stretches(lambda stretch: np.array(encode(stretch), "<i4").tobytes())
-    return _ENCODERS[key]
+        return Stretches(lambda stretch: np.array(encode(stretch), "<i4").tobytes())
+
+    return kept("packing", (hashlib.sha256(ranks).hexdigest(), pattern), make)
 
 
 def token_pieces(

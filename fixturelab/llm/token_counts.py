@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fixturelab.llm.bpe import Pieces, Stretches
-from fixturelab.llm.common import map_arrow, n_bytes, slices
+from fixturelab.llm.common import kept, map_arrow, n_bytes, slices
 
 
 def byte_letters() -> list[str]:
@@ -122,15 +122,10 @@ class Counter:
         return len(parts) - 1 + sum(sum(self.stretches.values(x)) for x in parts)
 
 
-_COUNTERS: dict[tuple[str, str], Counter] = {}
-
-
 def counter(description: str, pattern: str, whole: frozenset[str] | None = None) -> Counter:
     """One counter for each vocabulary in a process."""
-    key = hashlib.sha256(description.encode()).hexdigest(), pattern
-    if key not in _COUNTERS:
-        _COUNTERS[key] = Counter(description, pattern, whole)
-    return _COUNTERS[key]
+    name = hashlib.sha256(description.encode()).hexdigest(), pattern
+    return kept("token counts", name, lambda: Counter(description, pattern, whole))
 
 
 def count_tokens(

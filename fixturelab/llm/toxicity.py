@@ -6,7 +6,6 @@ the model is a short list of (bucket, weight) pairs that is cheap to broadcast.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,11 +16,11 @@ import pyspark.sql.functions as F
 import xxhash
 from pyspark.sql import Column, DataFrame
 
-from fixturelab.llm.common import map_arrow, slices
+from fixturelab.llm.common import kept, map_arrow, slices
 from fixturelab.session import ship_package
 
 #: Words that a worker remembers by their hash; the memory is emptied beyond. It changes speed only.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 @dataclass(frozen=True)
@@ -50,12 +49,10 @@ class Words(dict):
         return value
 
 
-WORDS = Words()
-
-
 def features(text: str, buckets: int) -> np.ndarray:
     """Distinct buckets of the words, pairs and pairs with one word between, over the whole text."""
-    words = np.fromiter(map(WORDS.__getitem__, text.split()), np.uint64)
+    known = kept("toxicity", "words", Words)
+    words = np.fromiter(map(known.__getitem__, text.split()), np.uint64)
     words = words[words != 0]
     left, right = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
     mixed = [words]
@@ -139,9 +136,6 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), l
     return fitted.toPandas()  # at most settings.buckets + 1 rows, and few of them with L1
 
 
-_DENSE: dict[str, np.ndarray] = {}
-
-
 def score_documents(
     docs: DataFrame, model: pd.DataFrame, settings: Settings = Settings(), text: str = "text", score: str = "score"
 ) -> DataFrame:
@@ -152,19 +146,14 @@ def score_documents(
     """
     spark = docs.sparkSession
     pairs = model["bucket"].to_numpy(np.int64), model["weight"].to_numpy(np.float64)
-    name = hashlib.sha256(pairs[0].tobytes() + pairs[1].tobytes()).hexdigest()
     shared = spark.sparkContext.broadcast(pairs)
     own = [c for c in docs.columns if c != score]
     rows = docs.select(*[F.col(f"`{c}`") for c in own])
     at = own.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _DENSE:
-            _DENSE.clear()
-            dense = np.zeros(settings.buckets + 1, np.float32)
-            dense[shared.value[0]] = shared.value[1]
-            _DENSE[name] = dense
-        weights = _DENSE[name]
+        weights = np.zeros(settings.buckets + 1, np.float32)
+        weights[shared.value[0]] = shared.value[1]
         bias = float(weights[settings.buckets])
         for batch in batches:
             for part in slices(batch, at):

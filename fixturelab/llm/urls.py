@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
-from fixturelab.llm.common import map_arrow
+from fixturelab.llm.common import kept, map_arrow
 
 #: (verdict, host, path): a rule fits its host and all subdomains if the path starts with its path.
 Rule = tuple[str, str, str]
@@ -158,9 +158,6 @@ def train(urls: DataFrame, settings: Settings = Settings()) -> dict[bool, Model]
     return models
 
 
-_MODELS: dict[str, dict[bool, Model]] = {}
-
-
 def score_urls(rows: DataFrame, models: dict[bool, Model], settings: Settings, url: str = "url") -> DataFrame:
     """The rows with ``log_ratio``: accepted minus blocked log-likelihood, by byte; a null URL is empty."""
     packed = {
@@ -173,16 +170,16 @@ def score_urls(rows: DataFrame, models: dict[bool, Model], settings: Settings, u
     at = names.index(url)
     rows = rows.select(*[F.col(f"`{c}`") for c in names])
 
+    def unpack() -> dict[bool, Model]:
+        unpacked = {}
+        for accepted, fields in shared.value.items():
+            unpacked[accepted] = Model(settings)
+            for field, (places, values) in fields.items():
+                getattr(unpacked[accepted], field).ravel()[places] = values
+        return unpacked
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _MODELS:
-            _MODELS.clear()
-            _MODELS[name] = {}
-            for accepted, fields in shared.value.items():
-                model = Model(settings)
-                for field, (places, values) in fields.items():
-                    getattr(model, field).ravel()[places] = values
-                _MODELS[name][accepted] = model
-        own = _MODELS[name]
+        own = kept("urls", name, unpack)
         for batch in batches:
             owner, before, joint = contexts([x or "" for x in batch.column(at).to_pylist()], settings)
             gain = own[True].log_likelihood(before, joint) - own[False].log_likelihood(before, joint)
