@@ -25,8 +25,9 @@ from fixturelab.llm.common import kept, map_arrow, slices
 
 #: Pieces longer than this are encoded each time; shorter ones are remembered by a worker.
 REMEMBERED_CHARS = 48
-#: Remembered pieces of a worker; the memory is emptied beyond. It changes speed only.
-REMEMBERED = 500_000
+#: Remembered stretches and pieces of a worker; a memory is emptied beyond. It changes speed only.
+REMEMBERED = 300_000
+REMEMBERED_PIECES = 100_000
 
 
 def load_ranks(path: str) -> bytes:
@@ -147,7 +148,7 @@ class Pieces(dict):
     def __missing__(self, piece: str):
         value = self.compute(piece)
         if len(piece) <= REMEMBERED_CHARS:
-            if len(self) >= REMEMBERED:
+            if len(self) >= REMEMBERED_PIECES:
                 self.clear()
             self[piece] = value
         return value

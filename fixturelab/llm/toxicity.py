@@ -27,7 +27,7 @@ REMEMBERED = 200_000
 class Settings:
     """Bounds and rates of the learner; ``sample`` is the most labelled documents it is fitted on."""
 
-    sample: int = 20_000
+    sample: int = 12_000
     buckets: int = 1 << 20
     epochs: int = 5
     alpha: float = 2.0
@@ -128,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), l
 
     def learn(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["order", "id"])
-        data = [(np.frombuffer(b, "<i4").astype(np.int64), int(y)) for b, y in zip(group["buckets"], group["label"])]
+        data = [(np.frombuffer(b, "<i4"), int(y)) for b, y in zip(group["buckets"], group["label"])]
         bucket, weight = fit_ftrl(data, settings)
         return pd.DataFrame({"bucket": bucket, "weight": weight})
 
