@@ -26,8 +26,8 @@ from fixturelab.llm.common import kept, map_arrow, slices
 #: Pieces longer than this are encoded each time; shorter ones are remembered by a worker.
 REMEMBERED_CHARS = 48
 #: Remembered stretches and pieces of a worker; a memory is emptied beyond. It changes speed only.
-REMEMBERED = 500_000
-REMEMBERED_PIECES = 300_000
+REMEMBERED = 700_000
+REMEMBERED_PIECES = 600_000
 
 
 def load_ranks(path: str) -> bytes:
