@@ -7,6 +7,7 @@ score grids by summing cells.
 from __future__ import annotations
 
 import math
+import re
 
 ORACLES: dict[str, str] = {}
 
@@ -23,6 +24,16 @@ def rs(*names: str) -> str:
     return ", ".join(r(n) for n in names)
 
 
+def once(ctes: list[str]) -> list[str]:
+    """CTEs computed once each, however often they are read; self-referring ones stay as they are."""
+    out = []
+    for cte in ctes:
+        name, _, rest = cte.partition(" as (")
+        own = re.search(rf"\b{re.escape(name.strip())}\b", rest)
+        out.append(cte if own or "(" in name else f"{name} as materialized ({rest}")
+    return out
+
+
 def add(name: str, ctes: list[str], body: str) -> None:
     ORACLES[name] = ("with recursive " + ",\n".join(ctes) + "\n" if ctes else "") + body
 
@@ -236,7 +247,7 @@ add("table_thresholds", CONTESTS + APP + _stand + [
     """full_t as (select c.league, c.season, c.match_seq, t.team, t.teams, coalesce(a.after, 0) as pts from contests c join tm t on t.league = c.league and t.season = c.season
  asof left join aft a on a.league = t.league and a.season = t.season and a.team = t.team and a.match_seq < c.match_seq)""",
     "thr as (select league, season, match_seq, max(teams) as teams, list_reverse_sort(list(pts)) as l from full_t group by all)"],
-    f"""select s.league, s.season, s.match_seq, s.team, s.venue, cast(s.points as bigint) as points, s.played, case when teams >= 17 then cast(s.points - l[17] as double) end as ahead_of_17, case when teams >= 17 then cast(s.points - l[6] as double) end as ahead_of_6
+    f"""select s.league, s.season, s.match_seq, s.team, s.venue, cast(s.points as bigint) as points, s.played, case when teams >= 17 then cast(s.points - l[17] as bigint) end as ahead_of_17, case when teams >= 17 then cast(s.points - l[6] as bigint) end as ahead_of_6
  from std s join thr t on t.league = s.league and t.season = s.season and t.match_seq = s.match_seq""")
 
 # ------------------------------------------------------------------ lookups
@@ -287,8 +298,8 @@ add("learner_features", E1, f"select {KEY}, actual, {rs('xh_hist', 'xa_hist', 'x
 
 # ------------------------------------------------------------------ backtest
 PROD = E1 + blend("pd", "comps", "0.10", "0.0", "0.90")
-add("backtest_metrics", PROD + scored("sc", "pd"), f"select coalesce(season, -1) as season, {METRICS} from sc group by rollup (season)")
-add("backtest_by_league", PROD + scored("sc", "pd"), f"select league, season, {METRICS} from sc group by league, season")
+add("backtest_metrics", once(PROD + scored("sc", "pd")), f"select coalesce(season, -1) as season, {METRICS} from sc group by rollup (season)")
+add("backtest_by_league", once(PROD + scored("sc", "pd")), f"select league, season, {METRICS} from sc group by league, season")
 add("confusion_matrix", PROD + scored("sc", "pd"), "select c as actual, " + ", ".join(f"(select count(*) from sc where actual = c and pred = '{k}') as pred_{k.lower()}" for k in "1X2") + " from (select unnest(['1', 'X', '2']) as c)")
 add("class_report", PROD + scored("sc", "pd") + ["cr as (select c as label, (select count(*) from sc where actual = c) as support, (select count(*) from sc where pred = c) as said, (select count(*) from sc where pred = c and actual = c) as tp from (select unnest(['1', 'X', '2']) as c))"],
     f"select label, support, {r('coalesce(tp / nullif(said, 0), 0)', 'precision')}, {r('coalesce(tp / nullif(support, 0), 0)', 'recall')}, {r('coalesce(2.0 * tp / nullif(said + support, 0), 0)', 'f1')} from cr")
@@ -360,7 +371,7 @@ def report(source: str, by: str, cell: str = "match_seq * 5 + league", cells_: i
 REPORT = "n, only_a, only_b, discordant, verdict, accuracy_verdict, " + rs("acc_a", "acc_b", "score_a", "score_b", "ci_low", "ci_high", "p_value", "diff")
 MVM = PROD + ["mv as (select league, match_seq, actual, p1 as p1_a, px as px_a, p2 as p2_a, q1 as p1_b, qx as px_b, q2 as p2_b from pd)"] + pair("pr", "mv")
 SCOPES = ["ps as (select * , 'all' as scope from pr union all select *, cast(league as varchar) from pr)"]
-add("paired_scores", MVM, f"select league, count(*) as n, {r('avg(case when ok_a then 1.0 else 0.0 end)', 'acc_a')}, {r('avg(case when ok_b then 1.0 else 0.0 end)', 'acc_b')}, cast(sum(case when ok_a and not ok_b then 1 else 0 end) as bigint) as only_a, cast(sum(case when ok_b and not ok_a then 1 else 0 end) as bigint) as only_b, {r('avg(score_a)', 'score_a')}, {r('avg(score_b)', 'score_b')} from pr group by league")
+add("paired_scores", once(MVM), f"select league, count(*) as n, {r('avg(case when ok_a then 1.0 else 0.0 end)', 'acc_a')}, {r('avg(case when ok_b then 1.0 else 0.0 end)', 'acc_b')}, cast(sum(case when ok_a and not ok_b then 1 else 0 end) as bigint) as only_a, cast(sum(case when ok_b and not ok_a then 1 else 0 end) as bigint) as only_b, {r('avg(score_a)', 'score_a')}, {r('avg(score_b)', 'score_b')} from pr group by league")
 add("model_vs_market", MVM + SCOPES + report("ps", "scope"), f"select scope, {REPORT} from rep_")
 _obin = "(p_{0} >= 0.5) = over_actual as ok_{0}, pow(p_{0} - (case when over_actual then 1.0 else 0.0 end), 2) as score_{0}"
 OUV = E1 + OVER("oa", "0.1", "0.0")
@@ -407,7 +418,3 @@ add("slip_summary", _SEL + ["t13 as (select * from sl where place <= 13)"],
     f"""select cast(week as varchar) as week, count(*) as n_matches, {r('sum(ln(pick_odds))', 'multiplier')}, {r('product(cf)', 'p_all')}, {r('avg(cf)', 'mean_confidence')}, {r('avg(margin)', 'mean_margin')}, {r('-sum(ln(cf))', 'one_in')},
  {r('product(cf) * (1 + sum((1 - cf) / cf))', 'p_at_least_n_minus_1')}, {r('product(pick_odds) * product(cf)', 'expected_return')}, {r('sum(cf)', 'expected_hits')} from t13 group by week""")
 add("latest_round", CONTESTS, f"select {KEY}, {DAY}, home, away, {rs('c1', 'oover')} from contests where c1 is not null and oover > 1 and ounder > 1 order by d desc, match_seq desc, league limit 20")
-
-# Too slow in this form on whole tables (about 1,000 s); checked as rows only.
-for _slow in ("backtest_metrics", "backtest_by_league", "paired_scores"):
-    del ORACLES[_slow]

@@ -21,7 +21,7 @@ LOOKBACK = 1600
 HALF_LIFE = 730.0
 MAX_EXPONENT = 900.0
 
-TEAM_FIELDS = ["n_prior", "w_venue", "gf_venue", "ga_venue", "form_n", "form_gf", "form_ga",
+TEAM_FIELDS = ["n_prior", "gf_venue", "ga_venue", "form_n", "form_gf", "form_ga",
                "form_venue_n", "form_venue_gf"]
 LEAGUE_FIELDS = ["n_league", "mean_home", "mean_away"]
 MEETING_FIELDS = ["met", "met_gf", "met_ga"]
@@ -171,7 +171,7 @@ def _rejoin(rows: DataFrame, by: list[str], kept: Sequence[str]) -> DataFrame:
 
 
 def unbounded_state(matches: DataFrame, half_life: float | None = HALF_LIFE, n_form: int = 3, n_meet: int = 10,
-                    block_rows: int = 1 << 16, epoch: str = "2000-01-01", carry: Sequence[str] = (),
+                    block_rows: int = 1 << 16, carry: Sequence[str] = (),
                     order: str = "row", block_days: int = 365) -> DataFrame:
     """The same state over all earlier matches of the league (no frame).
 
@@ -179,8 +179,12 @@ def unbounded_state(matches: DataFrame, half_life: float | None = HALF_LIFE, n_f
     Adds ``run_home`` and ``run_away``, the plain goal means so far.
     """
     base = matches.select("league", "season", "match_seq", "d", "home", "away", "gh", "ga", *carry)
-    e = growth(F.col("d"), F.lit(epoch).cast("date"), half_life)
-    base = base.withColumn("_e", e).withColumn("_day", F.unix_date("d").cast("long"))
+    # the league's own dates bound the exponent: a half-life too short for them fails loudly
+    dates = base.groupBy("league").agg(F.min("d").alias("_epoch"), F.max("d").alias("_until"))
+    span = F.datediff("_until", "_epoch").cast("double")
+    base = base.join(dates, "league").withColumn("_e", growth(F.col("d"), F.col("_epoch"), half_life, span))
+    base = base.drop("_epoch", "_until")
+    base = base.withColumn("_day", F.unix_date("d").cast("long"))
     if order == "row":
         base, day = base.withColumn("_b", block_of("match_seq", block_rows)), None
     elif order == "day":
