@@ -220,8 +220,8 @@ add("league_means_fixed", CONTESTS, f"select league, {r(f'sum(gh * {_w}) / sum({
 add("team_strengths", CONTESTS + APP, "select league, team, " + ", ".join(
     r(f"coalesce(sum({g} * {_w}) filter (where venue = '{v}') / sum({_w}) filter (where venue = '{v}'), 0)", n)
     for g, v, n in (("gf", "H", "att_home"), ("ga", "H", "def_home"), ("gf", "A", "att_away"), ("ga", "A", "def_away"))) + " from app group by league, team")
-_state_cols = ("met, " + rs("met_gf", "met_ga", "mean_home", "mean_away") + ", n_league, " + ", ".join(
-    f"{p}_n_prior, {p}_form_n, {p}_form_venue_n, " + rs(f"{p}_gf_venue", f"{p}_ga_venue", f"{p}_form_gf", f"{p}_form_ga", f"{p}_form_venue_gf") for p in "ha"))
+_state_cols = ("cast(met as int) as met, " + rs("met_gf", "met_ga", "mean_home", "mean_away") + ", n_league, " + ", ".join(
+    f"{p}_n_prior, cast({p}_form_n as int) as {p}_form_n, cast({p}_form_venue_n as int) as {p}_form_venue_n, " + rs(f"{p}_gf_venue", f"{p}_ga_venue", f"{p}_form_gf", f"{p}_form_ga", f"{p}_form_venue_gf") for p in "ha"))
 add("walk_forward_state", state("1600"), f"select {KEY}, {DAY}, home, away, {_state_cols} from sta")
 add("unbounded_state", state(None), f"select {KEY}, {DAY}, home, away, {_state_cols}, {rs('run_home', 'run_away')} from sta")
 
@@ -307,7 +307,7 @@ add("confidence_calibration", PROD + scored("sc", "pd", "first") + ["bn as (sele
     f"select league, {r('sum(abs(c - h) * n) / sum(n)', 'calibration_gap')}, count(*) as bins from bn group by league")
 
 # ------------------------------------------------------------------ experiments on all history
-FULL = state(None) + xg("mean_home", "mean_away", SEEN) + ["test as (select * from comps where season >= 1999)"]
+FULL = state(None) + xg("mean_home", "mean_away", SEEN) + ["test as (select * from comps where season >= (select max(season) - 2 from contests))"]
 _macro = lambda src: f"select variant, blend, count(*) as seasons, {r('avg(accuracy)', 'accuracy')}, {r('avg(rps)', 'rps')}, {r('avg(ph)', 'pred_home_share')} from (select variant, blend, season, avg(case when hit then 1.0 else 0.0 end) as accuracy, avg(rps) as rps, avg(case when pred = '1' then 1.0 else 0.0 end) as ph from {src} group by all) group by all"
 
 
@@ -348,6 +348,8 @@ def pair(name: str, source: str, extra: str = "league, match_seq") -> list[str]:
 
 def report(source: str, by: str, cell: str = "match_seq * 5 + league", cells_: int = 1000, reps: int = 10000) -> list[str]:
     p = 2147483647
+    mixed = f"(({cell}) * 48271 + 11) % {p}"
+    cell = f"(({mixed}) * ({mixed}) + 7919) % {p}"
     steps, cdf, pmf = [], 0.0, math.exp(-1.0)
     for k in range(10):
         cdf += pmf
@@ -407,7 +409,7 @@ add("configuration_search", _SEARCH, f"select {rs('form', 'meet', 'odds', 'rho',
 add("fixture_validation", CONTESTS + ["""fx as (select match_seq, match_seq % 61 = 0 as void, case when match_seq % 61 = 0 or match_seq % 53 = 1 then null else home end as h, case when match_seq % 61 = 0 then null when match_seq % 47 = 2 then home else away end as a,
  case when match_seq % 61 = 0 or match_seq % 43 = 3 then null else o1 end as f1, case when match_seq % 61 = 0 then null when match_seq % 41 = 4 then 0.95 else ox end as fx from contests)"""],
     "select case when h is null or a is null then 'both teams needed' when h = a then 'same team twice' when f1 is null or fx is null then 'odds missing' when fx <= 1 then 'odds must exceed one' else 'valid' end as reason, count(*) as n, cast(sum(match_seq) as bigint) as sum_seq from fx where not void group by 1")
-PICKS = E1 + ["""pk0 as (select c.*, o1, ox, o2, oover, ounder, case when q1 >= qx and q1 >= q2 then '1' when qx >= q2 then 'X' else '2' end as p0, greatest(q1, qx, q2) as c0, greatest(q_over, 1 - q_over) as c9 from comps c join contests t on t.league = c.league and t.match_seq = c.match_seq)""",
+PICKS = E1 + ["""pk0 as (select c.*, u1 as o1, ux as ox, u2 as o2, oover, ounder, case when q1 >= qx and q1 >= q2 then '1' when qx >= q2 then 'X' else '2' end as p0, greatest(q1, qx, q2) as c0, greatest(q_over, 1 - q_over) as c9 from comps c join mk0 t on t.league = c.league and t.match_seq = c.match_seq)""",
     """pk as (select league, season, match_seq, date_trunc('week', d)::date as week, case when c9 > c0 then 'Over/Under 2.5' else '1X2' end as market, case when c9 > c0 then (case when q_over >= 0.5 then 'Over 2.5' else 'Under 2.5' end) else p0 end as pick, greatest(c0, c9) as confidence,
  case when c9 > c0 then (case when q_over >= 0.5 then oover else ounder end) else (case p0 when '1' then o1 when 'X' then ox else o2 end) end as pick_odds, case when c9 > c0 then 1/oover + 1/ounder - 1 else 1/o1 + 1/ox + 1/o2 - 1 end as margin,
  case when c9 > c0 then (q_over >= 0.5) = over_actual else p0 = actual end as hit from pk0)"""]
@@ -418,3 +420,46 @@ add("slip_summary", _SEL + ["t13 as (select * from sl where place <= 13)"],
     f"""select cast(week as varchar) as week, count(*) as n_matches, {r('sum(ln(pick_odds))', 'multiplier')}, {r('product(cf)', 'p_all')}, {r('avg(cf)', 'mean_confidence')}, {r('avg(margin)', 'mean_margin')}, {r('-sum(ln(cf))', 'one_in')},
  {r('product(cf) * (1 + sum((1 - cf) / cf))', 'p_at_least_n_minus_1')}, {r('product(pick_odds) * product(cf)', 'expected_return')}, {r('sum(cf)', 'expected_hits')} from t13 group by week""")
 add("latest_round", CONTESTS, f"select {KEY}, {DAY}, home, away, {rs('c1', 'oover')} from contests where c1 is not null and oover > 1 and ounder > 1 order by d desc, match_seq desc, league limit 20")
+
+# the three highest numbers below a full slip from power sums of the odds against each pick
+add("slip_hits_tail", _SEL + ["t13 as (select *, (1 - cf) / cf as against from sl where place <= 13)",
+    "tl as (select week, count(*) as n, product(cf) as p, sum(against) as s1, sum(pow(against, 2)) as s2, sum(pow(against, 3)) as s3 from t13 group by week)"],
+    f"select cast(week as varchar) as week, n as n_matches, cast(n - k as int) as hits, {r('p * (case k when 0 then 1 when 1 then s1 when 2 then (s1 * s1 - s2) / 2 else (s1 * s1 * s1 - 3 * s1 * s2 + 2 * s3) / 6 end)', 'probability')} from tl, (select unnest(range(4)) as k) where n - k >= 0")
+add("weekly_slip_backtest", PICKS + ["""md as (select 'both' as markets, week, league, match_seq, round(confidence, 9) as cf, hit from pk
+ union all select '1X2', date_trunc('week', d)::date, league, match_seq, round(c0, 9), p0 = actual from pk0
+ union all select 'Over/Under', date_trunc('week', d)::date, league, match_seq, round(c9, 9), (q_over >= 0.5) = over_actual from pk0)""",
+    "mr as (select *, row_number() over (partition by markets, week order by cf desc, league, match_seq) as place from md)",
+    "mw as (select markets, week, count(*) as n, product(cf) as declared, min(hit::int) as all_hit, sum(hit::int) as hits from mr where place <= 13 group by markets, week)"],
+    f"""select markets, count(*) as slips, cast(sum(all_hit) as bigint) as "full", {r('avg(all_hit)', 'observed')}, {r('avg(declared)', 'declared')}, {r('avg(hits)', 'mean_hits')} from mw where n = 13 group by markets""")
+add("search_best", _SEARCH, f"select {rs('form', 'meet', 'odds', 'rho', 'threshold')}, market, n_selected, {rs('share_selected', 'hit_rate', 'declared', 'calibration_gap', 'bias', 'brier')} from (select * replace (round(hit_rate, 9) as hit_rate) from search) where share_selected >= 0.25 order by hit_rate desc nulls last, form, meet, odds, rho, market, threshold limit 10")
+add("search_marginals", _SEARCH + ["sv as materialized (select * from search)"], " union all ".join(
+    f"select '{p}' as parameter, cast({p} as varchar) as value, count(*) as configs, {r('avg(hit_rate)', 'hit_rate')}, {r('avg(calibration_gap)', 'calibration_gap')} from sv group by {p}" for p in G.PARAMETERS))
+add("over_under_analysis", CONTESTS + shin("su", "contests", ["oover", "ounder"]) + [
+    "ou as (select c.*, su.p0 as market, 0.5 * (match_seq % 10) / 10.0 + 0.5 * su.p0 as mixed from contests c join su using (oover, ounder))"],
+    f"""select {KEY}, {r('market', 'prob_over_market')}, {r('market', 'prob_over')}, {r('1 - market', 'prob_under')}, case when market >= 1 - market then 'Over 2.5' else 'Under 2.5' end as ou_pick, {r('greatest(market, 1 - market)', 'ou_confidence')},
+ {r('case when market >= 1 - market then oover else ounder end', 'ou_pick_odds')}, {r('1 / oover + 1 / ounder - 1', 'ou_margin')}, case when mixed >= 1 - mixed then 'Over 2.5' else 'Under 2.5' end as blend_pick, {r('greatest(mixed, 1 - mixed)', 'blend_confidence')} from ou""")
+
+
+def _power(x: str, k: int) -> str:
+    """x^k / k! as a chain of products, so that equal scores tie exactly."""
+    out = "1.0"
+    for i in range(1, k + 1):
+        out = f"({out} * {x} / {i})"
+    return out
+
+
+_goals = ", ".join(f"{{'i': {i}, 'x': {_power('l', i)}}}" for i in range(11))
+_goals_away = ", ".join(f"{{'j': {j}, 'y': {_power('m', j)}}}" for j in range(11))
+add("top_scores", E1 + ["ts0 as (select league, match_seq, cast(greatest(round(xh_hist, 3), 0.05) as double) as l, cast(greatest(round(xa_hist, 3), 0.05) as double) as m from comps)",
+    f"ts1 as (select league, match_seq, l, m, least(greatest(-0.1, greatest(-1 / l, -1 / m)), least(1 / (l * m), 1.0)) as rho, [{_goals}] as hs, [{_goals_away}] as gs from ts0)",
+    "ts2 as (select *, list_sum(list_transform(hs, lambda a: a.x)) * list_sum(list_transform(gs, lambda a: a.y)) as total, unnest(hs) as h from ts1)",
+    "ts3 as (select league, match_seq, l, m, rho, total, h.i as i, h.x as x, unnest(gs) as g from ts2)",
+    """ts4 as (select league, match_seq, i, g.j as j, x * g.y * (case when i = 0 and g.j = 0 then 1 - l * m * rho when i = 0 and g.j = 1 then 1 + l * rho when i = 1 and g.j = 0 then 1 + m * rho when i = 1 and g.j = 1 then 1 - rho else 1.0 end) / total as p from ts3)""",
+    "ts5 as (select *, row_number() over (partition by league, match_seq order by p desc, i, j) - 1 as place from ts4 qualify place < 5)"],
+    f"select cast(place as int) as place, i || '-' || j as score, count(*) as n, {r('avg(p)', 'p')} from ts5 where p > 0 group by place, i, j")
+add("meeting_prices", CONTESTS + ["""mp0 as (select *, coalesce(list({'home': home, 'h': coalesce(c1, o1), 'd': coalesce(cx, ox), 'a': coalesce(c2, o2)}) over (partition by league, least(home, away), greatest(home, away) order by match_seq rows between 10 preceding and 1 preceding), []) as met0 from contests)""",
+    "mp1 as (select *, case when len(list_filter(met0, lambda x: x.home = home)) > 0 then list_filter(met0, lambda x: x.home = home) else met0 end as used from mp0)",
+    "mp2 as materialized (select *, len(used) as k, " + ", ".join(f"case when len(used) > 0 then len(used) / list_sum(list_transform(used, lambda x: 1.0 / {v})) end as {n}" for n, v in (
+        ("e1", "(case when x.home = home then x.h else x.a end)"), ("ex", "x.d"), ("e2", "(case when x.home = home then x.a else x.h end)"))) + " from mp1)",
+    *shin("sm_", "mp2", ["e1", "ex", "e2"])],
+    f"select {KEY}, {DAY}, home, away, cast(len(met0) as int) as met, cast(k as int) as priced, {r('p0', 'q1')}, {r('p1', 'qx')}, {r('p2', 'q2')} from mp2 left join sm_ using (e1, ex, e2)")

@@ -56,6 +56,17 @@ def matches(spark: SparkSession, sf: str) -> DataFrame:
     return stored(spark, "matches", {"sf": sf}, lambda: K.contests(spark, sf))
 
 
+def last_season(spark: SparkSession, sf: str) -> int:
+    """The latest season of the matches (-1 without any): tests and training windows hang on it."""
+    row = matches(spark, sf).agg(F.max("season")).first()
+    return -1 if row[0] is None else int(row[0])
+
+
+def test_seasons(spark: SparkSession, sf: str) -> Column:
+    """The last three seasons."""
+    return F.col("season") >= last_season(spark, sf) - 2
+
+
 FULL = FeatureConfig(lookback=None, min_history=0)
 PLAIN = FeatureConfig(lookback=None, min_history=0, league_means="plain")
 
@@ -466,19 +477,19 @@ CONFIGS = [
 def configuration_table(spark, sf):
     """Nine weightings side by side, with ratings."""
     rated = rated_matches(spark, sf)
-    train = rated.where(F.col("season") < 1999)
+    train = rated.where(~test_seasons(spark, sf))
     r = R.rating_goals(rated, R.fit_rating_goals(train, "gh"), R.fit_rating_goals(train, "ga"))
-    c = comps(spark, sf, FULL).where(F.col("season") >= 1999)
+    c = comps(spark, sf, FULL).where(test_seasons(spark, sf))
     c = c.join(r.select("league", "match_seq", "elo_valid", "xh_elo", "xa_elo"), ["league", "match_seq"])
     c = G.with_configs(c, CONFIGS, ["config", "form", "meet", "odds", "elo"])
     s = M.scored(B.blend_1x2(c, "form", "meet", "odds", elo="elo"))
     return out(s.groupBy("config").agg(F.count(F.lit(1)).alias("n"), M.rate(F.col("hit")).alias("accuracy"), F.avg("rps").alias("rps")), 4)
 
 
-def _macro(spark, sf, variants: dict[str, FeatureConfig], blends: dict[str, tuple[float, float, float]], first: int = 1999) -> DataFrame:
+def _macro(spark, sf, variants: dict[str, FeatureConfig], blends: dict[str, tuple[float, float, float]]) -> DataFrame:
     parts = None
     for name, cfg in variants.items():
-        c = comps(spark, sf, cfg).where(F.col("season") >= first)
+        c = comps(spark, sf, cfg).where(test_seasons(spark, sf))
         for label, (form, meet, odds) in blends.items():
             s = M.scored(B.blend_1x2(c, form, meet, odds)).withColumn("variant", F.lit(name)).withColumn("blend", F.lit(label))
             s = s.select("variant", "blend", "season", "hit", "actual", "pred", "rps", "logloss")
@@ -510,7 +521,7 @@ def league_mean_modes(spark, sf):
 @query
 def blend_weight_grid(spark, sf):
     """Accuracy and RPS of every form x odds weight, mean over three seasons."""
-    c = comps(spark, sf, FULL).where(F.col("season") >= 1999)
+    c = comps(spark, sf, FULL).where(test_seasons(spark, sf))
     c = G.with_configs(c, G.blend_configs(), ["form", "odds"])
     s = M.scored(B.blend_1x2(c, "form", 0.0, "odds"))
     return out(M.macro_mean(s, ["form", "odds"]))
@@ -561,7 +572,7 @@ def over_under_blend_sweep(spark, sf):
 @query
 def configuration_differences(spark, sf):
     """Closing against opening, decayed against plain means, model against market."""
-    first = F.col("season") >= 1999
+    first = test_seasons(spark, sf)
     f = lambda cfg, w=(0.10, 0.0, 0.90): B.blend_1x2(comps(spark, sf, cfg).where(first), *w).select(*KEY, "actual", "p1", "px", "p2")
     base = f(FULL)
     pairs = {"closing vs opening": f(replace(FULL, odds_source="opening")), "decayed vs plain means": f(PLAIN),
@@ -582,7 +593,7 @@ def power_needed(spark, sf):
     model = B.blend_1x2(c, "weight", 0.0, one).select("weight", *KEY, "actual", F.col("p1").alias("p1_a"), F.col("px").alias("px_a"), F.col("p2").alias("p2_a"),
                                                       F.col("q1").alias("p1_b"), F.col("qx").alias("px_b"), F.col("q2").alias("p2_b"))
     # one row per weight and league: a few counts
-    r = C.report(C.pair_1x2(model), ["weight", "league"], F.col("match_seq"))
+    r = C.report(C.pair_1x2(model), ["weight", "league"], _cell())
     r = r.withColumn("needed_score", C.needed_for_score(F.col("ci_low"), F.col("ci_high"), F.col("diff"), F.col("n")))
     r = C.needed_for_accuracy(r, ["weight", "league"])
     return out(r.select("weight", "league", "n", "only_a", "only_b", F.coalesce("needed_score", F.lit(-1)).alias("needed_score"),
@@ -637,9 +648,11 @@ def weekly(df: DataFrame) -> DataFrame:
 
 
 def weekly_picks(spark, sf, markets: str = "both") -> DataFrame:
-    """Production picks of every match, one slip per league and week."""
+    """Production picks of every match; the leagues share the slips of a week. Odds and probabilities
+    come from the same prices, closing first."""
     c = comps(spark, sf).where(F.col("has_odds") & F.col("has_ou"))
-    c = c.join(matches(spark, sf).select("league", "match_seq", *K.OPENING, *K.TOTALS), ["league", "match_seq"])
+    prices = O.pick_source([K.CLOSING, K.OPENING], K.OPENING)
+    c = c.join(matches(spark, sf).select("league", "match_seq", *prices, *K.TOTALS), ["league", "match_seq"])
     c = c.select("*", F.col("q1").alias("p1"), F.col("qx").alias("px"), F.col("q2").alias("p2"), F.col("q_over").alias("p_over"))
     p = P.market_candidates(weekly(c), markets=markets)
     return p.withColumn("hit", P.hit_of(p))
@@ -704,12 +717,9 @@ def latest_round(spark, sf):
 
 # ---------------------------------------------------------------- forecasts of fixtures
 
-LAST_SEASON = 2001
-
-
 def fixtures_of(spark, sf) -> DataFrame:
     """Pairings of the last season; a third of them comes without prices."""
-    m = matches(spark, sf).where(F.col("season") == LAST_SEASON)
+    m = matches(spark, sf).where(F.col("season") == last_season(spark, sf))
     price = lambda c: F.max_by(c, "match_seq").alias(c)
     f = m.groupBy("league", "home", "away").agg(F.max("match_seq").alias("match_seq"), *[price(c) for c in (*K.OPENING, *K.TOTALS)])
     return f.select("league", "home", "away", "match_seq", *[F.when(F.col("match_seq") % 3 != 0, F.col(c)).alias(c) for c in (*K.OPENING, *K.TOTALS)])
@@ -718,7 +728,7 @@ def fixtures_of(spark, sf) -> DataFrame:
 @query
 def fixture_forecasts(spark, sf):
     """Full forecast of every pairing of the last season from the seasons before."""
-    history = matches(spark, sf).where(F.col("season") < LAST_SEASON)
+    history = matches(spark, sf).where(F.col("season") < last_season(spark, sf))
     f = Y.forecast(history, fixtures_of(spark, sf).select("league", "home", "away", *K.OPENING), 0.3, 0.2, 0.4)
     return out(f.drop(*K.OPENING, "q1", "qx", "q2").withColumn("top_scores", F.concat_ws(" ", F.transform("top_scores", lambda x: x["score"]))).drop("top_scores"))
 
@@ -726,7 +736,7 @@ def fixture_forecasts(spark, sf):
 @query
 def slip_builder(spark, sf):
     """Validated fixtures, forecast, best market, thirteen per slip, summary."""
-    history = matches(spark, sf).where(F.col("season") < LAST_SEASON)
+    history = matches(spark, sf).where(F.col("season") < last_season(spark, sf))
     _, s = Y.build_slips(history, fixtures_of(spark, sf), ["league"], ["match_seq"])
     s = s.withColumn("multiplier", F.log("multiplier")).withColumn("one_in", F.log("one_in"))
     return out(s.drop("distribution"))
@@ -738,7 +748,7 @@ def slip_builder(spark, sf):
 def pooled_strengths(spark, sf):
     """M2: partially pooled attack, defence and home advantage, refitted before each season."""
     m = matches(spark, sf)
-    pairs = R.pair_totals_at(m, F.col("season") + 1, 2001)
+    pairs = R.pair_totals_at(m, F.col("season") + 1, last_season(spark, sf))
     return out(R.pooled_strengths(pairs, ["league", "cutoff"]), 4)
 
 
@@ -746,8 +756,8 @@ def pooled_strengths(spark, sf):
 def pooled_model_backtest(spark, sf):
     """M2 in the blend: pooled expected goals in place of history and form."""
     m = matches(spark, sf)
-    params = stored(spark, "pooled", {"sf": sf}, lambda: R.pooled_strengths(R.pair_totals_at(m, F.col("season") + 1, 2001), ["league", "cutoff"]))
-    c = comps(spark, sf, FULL).where(F.col("season") >= 1999).withColumn("cutoff", F.col("season").cast("long"))
+    params = stored(spark, "pooled", {"sf": sf}, lambda: R.pooled_strengths(R.pair_totals_at(m, F.col("season") + 1, last_season(spark, sf)), ["league", "cutoff"]))
+    c = comps(spark, sf, FULL).where(test_seasons(spark, sf)).withColumn("cutoff", F.col("season").cast("long"))
     g = R.pooled_goals(c, params, ["league", "cutoff"])
     known = F.col("xh_pooled").isNotNull() & F.col("xa_pooled").isNotNull()
     pooled = g.withColumns({f"x{s}_{k}": F.when(known, F.col(f"x{s}_pooled")).otherwise(F.col(f"x{s}_{k}")) for s in "ha" for k in ("hist", "form")})
@@ -765,13 +775,13 @@ def external_goals_backtest(spark, sf):
     covered = m.drop("gh", "ga").join(x.select("league", "match_seq", F.col("xg_home").alias("gh"), F.col("xg_away").alias("ga")), ["league", "match_seq"])
     cfg = FeatureConfig(lookback=None, min_history=0, league_means="running", order="day")
     e = components(covered, cfg).select("league", "match_seq", *[F.col(f"x{s}_{k}").alias(f"_x{s}_{k}") for s in "ha" for k in ("hist", "form")])
-    c = comps(spark, sf, FULL).join(e, ["league", "match_seq"]).where(F.col("season") >= 1999)
+    c = comps(spark, sf, FULL).join(e, ["league", "match_seq"]).where(test_seasons(spark, sf))
     swapped = c.withColumns({f"x{s}_{k}": F.col(f"_x{s}_{k}") for s in "ha" for k in ("hist", "form")})
     both = production(c).withColumn("model", F.lit("goals")).unionByName(production(swapped).withColumn("model", F.lit("external")))
     return out(M.metrics(M.scored(both), ["model", "season"]))
 
 
-TEST_SEASON, HOME_LEAGUE = 2001, 0
+HOME_LEAGUE = 0
 
 
 def _feature_rows(spark, sf) -> DataFrame:
@@ -788,17 +798,17 @@ def _summary(p: DataFrame, model: str) -> DataFrame:
 def boosted_trees(spark, sf):
     """M3 M4: boosted trees on the components, all leagues, last season as test."""
     f = _feature_rows(spark, sf)
-    model = L.OneVsRestTrees(L.FEATURES, trees=10).fit(L.training_window(f, TEST_SEASON))
-    return out(_summary(model.predict(f.where(F.col("season") == TEST_SEASON)), "boosted trees"))
+    model = L.OneVsRestTrees(L.FEATURES, trees=10).fit(L.training_window(f, last_season(spark, sf)))
+    return out(_summary(model.predict(f.where(F.col("season") == last_season(spark, sf))), "boosted trees"))
 
 
 @query
 def league_pooling(spark, sf):
     """One league's own history against added rows of the other leagues."""
     f = _feature_rows(spark, sf)
-    own = L.training_window(f.where(F.col("league") == HOME_LEAGUE), TEST_SEASON)
-    wide = own.unionByName(L.league_pool(L.training_window(f, TEST_SEASON), HOME_LEAGUE))
-    test = f.where((F.col("season") == TEST_SEASON) & (F.col("league") == HOME_LEAGUE))
+    own = L.training_window(f.where(F.col("league") == HOME_LEAGUE), last_season(spark, sf))
+    wide = own.unionByName(L.league_pool(L.training_window(f, last_season(spark, sf)), HOME_LEAGUE))
+    test = f.where((F.col("season") == last_season(spark, sf)) & (F.col("league") == HOME_LEAGUE))
     a = L.OneVsRestTrees(L.FEATURES, trees=5).fit(own).predict(test).select(*KEY, "actual", "p1", "px", "p2")
     b = L.OneVsRestTrees(L.FEATURES, trees=5).fit(wide).predict(test).select(*KEY, "actual", "p1", "px", "p2")
     r = C.report(C.pair_1x2(C.paired(b, a, KEY)).withColumn("scope", F.lit("pooled vs own league")), ["scope"], _cell())
@@ -809,7 +819,7 @@ def league_pooling(spark, sf):
 def stacking(spark, sf):
     """Out-of-fold stacking against boosted trees and the statistical model."""
     f = _feature_rows(spark, sf)
-    p = L.stack(L.training_window(f, TEST_SEASON), f.where(F.col("season") == TEST_SEASON), trees=3)
+    p = L.stack(L.training_window(f, last_season(spark, sf)), f.where(F.col("season") == last_season(spark, sf)), trees=3)
     p = stored(spark, "stacked", {"sf": sf}, lambda: p)
     triple = lambda a: p.select(*KEY, "actual", *[F.col(x).alias(y) for x, y in zip(a, ("p1", "px", "p2"))])
     stat, base, meta = triple(["s1", "sx", "s2"]), triple(["g1", "gx", "g2"]), triple(["p1", "px", "p2"])

@@ -3,7 +3,7 @@
 Every feature of a match uses rows with a smaller ``match_seq`` only. With a bounded frame
 (``lookback`` rows of the league) all windows of the build share one shuffle by (league, block):
 league means, meetings of the pair, venue strengths, recent form. Over all history the same
-features come from running sums and last-n rows carried between blocks.
+features come from sums and last-n rows that earlier blocks leave, joined to the block as rows.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.odds import div
-from .blocks import block_of, earlier_rows, recent_rows, running_sums, with_halo
+from .blocks import block_of, earlier_rows, with_halo
 
 LOOKBACK = 1600
 HALF_LIFE = 730.0
@@ -172,57 +172,157 @@ def _rejoin(rows: DataFrame, by: list[str], kept: Sequence[str]) -> DataFrame:
 
 def unbounded_state(matches: DataFrame, half_life: float | None = HALF_LIFE, n_form: int = 3, n_meet: int = 10,
                     block_rows: int = 1 << 16, carry: Sequence[str] = (),
-                    order: str = "row", block_days: int = 365) -> DataFrame:
+                    order: str = "row", block_days: int = 28) -> DataFrame:
     """The same state over all earlier matches of the league (no frame).
 
     ``order="row"``: every earlier row counts, also of the same day. ``order="day"``: earlier days only.
     Adds ``run_home`` and ``run_away``, the plain goal means so far.
+
+    What earlier blocks leave to a league, a pair or a team is computed from the matches, one row for
+    each cell that has matches, and travels with the block's own rows: all windows share one shuffle
+    by (league, block). The weights grow from the first date; a half-life so short that they don't
+    fit a double is refused.
     """
+    if order not in ("row", "day"):
+        raise ValueError(f"unknown order {order!r}")
     base = matches.select("league", "season", "match_seq", "d", "home", "away", "gh", "ga", *carry)
-    # the league's own dates bound the exponent: a half-life too short for them fails loudly
-    dates = base.groupBy("league").agg(F.min("d").alias("_epoch"), F.max("d").alias("_until"))
-    span = F.datediff("_until", "_epoch").cast("double")
-    base = base.join(dates, "league").withColumn("_e", growth(F.col("d"), F.col("_epoch"), half_life, span))
-    base = base.drop("_epoch", "_until")
-    base = base.withColumn("_day", F.unix_date("d").cast("long"))
+    first, until = base.agg(F.min("d"), F.max("d")).first()
+    if first is not None and half_life and half_life > 0 and (until - first).days / half_life > MAX_EXPONENT:
+        raise ValueError("half-life too short for the time span of the matches")
+    at = F.col("match_seq") if order == "row" else F.unix_date("d")
+    base = base.select("*", *pair_columns(), growth(F.col("d"), F.lit(first).cast("date"), half_life).alias("_e"),
+                       at.cast("long").alias("_at"))
+    base = base.withColumn("_b", block_of("_at", block_rows if order == "row" else block_days))
+    own, e = F.col("_own"), F.col("_e")
+    rows = base.withColumn("_own", F.lit(True))
+    for left in (_league_carry(base), _pair_carry(base, n_meet), _team_carry(base, n_form)):
+        rows = rows.unionByName(left.withColumn("_own", F.lit(False)), allowMissingColumns=True)
+
+    def so_far(cell: list[str], sums: dict[str, Column]) -> list[Column]:
+        """Sums over the earlier rows of the block and what the cell's row of carried sums holds."""
+        whole = W.partitionBy("league", "_b", *cell)
+        before = whole.orderBy("_at").rangeBetween(W.unboundedPreceding, -1)
+        return [(F.coalesce(F.sum(F.when(own, v)).over(before), F.lit(0))
+                 + F.coalesce(F.max(f"_c{n}").over(whole), F.lit(0))).alias(n) for n, v in sums.items()]
+
+    def last_of(carried: str, recent: Column, n: int) -> Column:
+        none = F.filter(recent, lambda x: F.lit(False))
+        empty = F.filter(F.col(carried), lambda x: F.lit(False))
+        both = F.concat(F.coalesce(F.col(carried), none, F.array()), F.coalesce(recent, empty, F.array()))
+        return F.slice(both, F.greatest(F.size(both) - F.lit(n - 1), F.lit(1)), n)
+
+    m = rows.select("*", *so_far([], _league_sums()))
+    pair = W.partitionBy("league", "_b", "_lo", "_hi")
+    meeting = F.when(own, F.struct("home", "gh", "ga"))
     if order == "row":
-        base, day = base.withColumn("_b", block_of("match_seq", block_rows)), None
-    elif order == "day":
-        base, day = base.withColumn("_b", block_of("_day", block_days)), "_day"
+        m = m.withColumn("_recent", F.collect_list(meeting).over(pair.orderBy("_at").rowsBetween(-n_meet, -1)))
     else:
-        raise ValueError(f"unknown order {order!r}")
-    m = running_sums(base, ["league"], ["match_seq"], "_b", {
-        "_fw": F.col("_e"), "_fh": F.col("_e") * F.col("gh"), "_fa": F.col("_e") * F.col("ga"),
-        "_n": F.lit(1.0), "_sh": F.col("gh").cast("double"), "_sa": F.col("ga").cast("double")}, day)
-    m = m.select("*", *pair_columns())
-    m = recent_rows(m, ["league", "_lo", "_hi"], "match_seq", "_b", n_meet,
-                    F.struct("home", "gh", "ga"), "_met", day)
-    m = m.select("league", "_b", "_day", "season", "match_seq", "d", "home", "away", "gh", "ga", "_e", *carry,
-                 F.col("match_seq").alias("n_league"), div("_fh", "_fw").alias("mean_home"), div("_fa", "_fw").alias("mean_away"),
-                 div("_sh", "_n").alias("run_home"), div("_sa", "_n").alias("run_away"), *_meetings(F.col("_met")))
+        # the list left by the last row of the days before
+        upto = F.collect_list(meeting).over(pair.orderBy("match_seq").rowsBetween(1 - n_meet, 0))
+        m = m.withColumn("_upto", F.when(own, F.struct("match_seq", upto.alias("l"))))
+        m = m.withColumn("_recent", F.max("_upto").over(pair.orderBy("_at").rangeBetween(W.unboundedPreceding, -1))["l"])
+    m = m.withColumn("_cmet", F.max("_cmet").over(pair))
+    m = m.withColumn("_met", last_of("_cmet", F.col("_recent"), n_meet))
+    team_sums = [f"_c{n}" for n in _team_sums()]
+    m = m.where(own | F.col("team").isNotNull()).select(
+        "league", "_b", "_own", "_at", "season", "match_seq", "d", "home", "away", "gh", "ga", "_e", "team", *carry,
+        *team_sums, "_chl", "_cal", F.col("match_seq").alias("n_league"),
+        div("_fh", "_fw").alias("mean_home"), div("_fa", "_fw").alias("mean_away"),
+        div("_sh", "_n").alias("run_home"), div("_sa", "_n").alias("run_away"), *_meetings(F.col("_met")))
     kept = [*carry, *LEAGUE_FIELDS, "run_home", "run_away", *MEETING_FIELDS]
-    rows = appearances(m, ["_b", "_e", "_day"])
+
+    def side(team: str, venue: str | None, gf: str, ga: str) -> Column:
+        fields = [F.col(c) if venue == "H" else F.lit(None).cast(m.schema[c].dataType) for c in kept]
+        return F.struct(F.col(team).alias("_team"), F.lit(venue).cast("string").alias("venue"), F.col(gf).alias("gf"),
+                        F.col(ga).alias("_against"), *[f.alias(f"_k_{c}") for f, c in zip(fields, kept)])
+
+    sides = F.when(own, F.array(side("home", "H", "gh", "ga"), side("away", "A", "ga", "gh"))).otherwise(
+        F.array(side("team", None, "gh", "ga")))
+    t = m.select("league", "_b", "_own", "_at", "season", "match_seq", "d", "_e", *team_sums, "_chl", "_cal",
+                 F.explode(sides).alias("_s"))
+    t = t.select("league", "_b", "_own", "_at", "season", "match_seq", "d", "_e", *team_sums, "_chl", "_cal",
+                 F.col("_s._team").alias("team"), "_s.venue", "_s.gf", F.col("_s._against").alias("ga"),
+                 *[F.col(f"_s._k_{c}").alias(c) for c in kept])
     at_home = F.col("venue") == "H"
-    e = F.col("_e")
+    by_venue = W.partitionBy("league", "_b", "team", "venue").orderBy("match_seq").rowsBetween(1 - n_form, 0)
+    t = t.withColumn("_last", F.collect_list(F.when(own, F.struct("match_seq", "gf", "ga"))).over(by_venue))
+    team = W.partitionBy("league", "_b", "team")
+    before = team.orderBy("_at").rangeBetween(W.unboundedPreceding, -1)
+    left = F.struct("match_seq", F.col("_last").alias("l"))
+    latest = lambda here: F.max(F.when(own & here, left)).over(before)["l"]
+    t = t.select("league", "_b", "_own", "season", "match_seq", "d", "team", "venue", "gf", "ga", *kept,
+                 *so_far(["team"], _team_sums()), latest(at_home).alias("_rh"), latest(~at_home).alias("_ra"),
+                 F.max("_chl").over(team).alias("_chl"), F.max("_cal").over(team).alias("_cal"))
+    t = t.where(own).withColumns({"_hl": last_of("_chl", F.col("_rh"), n_form), "_al": last_of("_cal", F.col("_ra"), n_form)})
+    venue = lambda p: F.when(at_home, F.col(f"{p}h")).otherwise(F.col(f"{p}a"))
+    ratio = lambda p: F.coalesce(div(venue(p), venue("_w")), F.lit(0.0))
+    t = t.select("league", "_b", "season", "match_seq", "d", "team", "venue", "gf", "ga", *kept, "n_prior",
+                 ratio("_f").alias("gf_venue"), ratio("_g").alias("ga_venue"),
+                 *_form_columns(F.when(at_home, F.col("_hl")).otherwise(F.col("_al")), F.col("_hl"), F.col("_al")))
+    return _rejoin(t, ["league", "_b", "match_seq"], kept).drop("_b")
+
+
+def _league_sums() -> dict[str, Column]:
+    e, gh, ga = F.col("_e"), F.col("gh"), F.col("ga")
+    return {"_fw": e, "_fh": e * gh, "_fa": e * ga, "_n": F.lit(1.0), "_sh": gh.cast("double"), "_sa": ga.cast("double")}
+
+
+def _team_sums() -> dict[str, Column]:
+    """Matches, and weights and weighted goals for and against at each venue."""
+    e, at_home = F.col("_e"), F.col("venue") == "H"
     sums = {"n_prior": F.lit(1)}
     for v, here in (("h", at_home), ("a", ~at_home)):
         sums[f"_w{v}"] = F.when(here, e).otherwise(0.0)
         sums[f"_f{v}"] = F.when(here, e * F.col("gf")).otherwise(0.0)
         sums[f"_g{v}"] = F.when(here, e * F.col("ga")).otherwise(0.0)
-    rows = running_sums(rows, ["league", "team"], ["match_seq"], "_b", sums, day)
-    rows = _last_by_venue(rows, n_form, F.struct("match_seq", "gf", "ga"), day)
-    own = F.when(at_home, F.col("_hl")).otherwise(F.col("_al"))
-
-    def venue(prefix: str) -> Column:
-        return F.when(at_home, F.col(f"{prefix}h")).otherwise(F.col(f"{prefix}a"))
-
-    rows = rows.withColumn("w_venue", venue("_w"))
-    ratio = lambda p: F.coalesce(div(venue(p), "w_venue"), F.lit(0.0))
-    rows = rows.select("league", "season", "match_seq", "d", "team", "venue", "gf", "ga", "n_prior", "w_venue",
-                       ratio("_f").alias("gf_venue"), ratio("_g").alias("ga_venue"),
-                       *_form_columns(own, F.col("_hl"), F.col("_al")))
-    state = _rejoin(rows, ["league", "match_seq"], [])
-    return state.join(m.select("league", "match_seq", *kept), ["league", "match_seq"])
+    return sums
+
+
+def _earlier_totals(cells: DataFrame, keys: list[str], names: Sequence[str]) -> list[Column]:
+    before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    return [F.coalesce(F.sum(f"_t{n}").over(before), F.lit(0)).alias(f"_c{n}") for n in names]
+
+
+def _league_carry(base: DataFrame) -> DataFrame:
+    """Sums of a league's earlier blocks, one row per league and block."""
+    sums = _league_sums()
+    cells = base.groupBy("league", "_b").agg(*[F.sum(v).alias(f"_t{n}") for n, v in sums.items()])
+    return cells.select("league", "_b", *_earlier_totals(cells, ["league"], list(sums)))
+
+
+def _pair_carry(base: DataFrame, n: int) -> DataFrame:
+    """The last ``n`` meetings in earlier blocks, one row per pair and block: a block passes on n rows at most."""
+    cell = ["league", "_lo", "_hi", "_b"]
+    rank = F.row_number().over(W.partitionBy(*cell).orderBy(F.desc("match_seq")))
+    tails = base.withColumn("_k", rank).where(F.col("_k") <= n)
+    along = W.partitionBy("league", "_lo", "_hi").orderBy("match_seq").rowsBetween(-n, -1)
+    tails = tails.select(*cell, "match_seq", F.collect_list(F.struct("home", "gh", "ga")).over(along).alias("_cmet"))
+    first = F.row_number().over(W.partitionBy(*cell).orderBy("match_seq"))
+    return tails.withColumn("_k", first).where(F.col("_k") == 1).select(*cell, "_cmet")
+
+
+def _team_carry(base: DataFrame, n: int) -> DataFrame:
+    """A team's sums over earlier blocks and its last ``n`` rows at each venue, one row per team and block."""
+    cell, sums, at_home = ["league", "team", "_b"], _team_sums(), F.col("venue") == "H"
+    rows = appearances(base, ["_b", "_e"]).repartition(*cell)
+    last = F.collect_list(F.struct("match_seq", "gf", "ga")).over(
+        W.partitionBy(*cell, "venue").orderBy("match_seq").rowsBetween(1 - n, 0))
+    rows = rows.withColumn("_l", F.struct("match_seq", last.alias("l")))
+    cells = rows.groupBy(*cell).agg(
+        *[F.sum(v).alias(f"_t{k}") for k, v in sums.items()],
+        F.max(F.when(at_home, F.col("_l")))["l"].alias("_h"), F.max(F.when(~at_home, F.col("_l")))["l"].alias("_a"))
+    cells = cells.select(*cell, "_h", "_a", *_earlier_totals(cells, ["league", "team"], list(sums)),
+                         F.col("_h").isNotNull().alias("_has_h"), F.col("_a").isNotNull().alias("_has_a"))
+    before = W.partitionBy("league", "team").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    for v in ("_h", "_a"):
+        # a block with rows at the venue has one at least, so the last n such blocks hold the last n rows
+        blocks = W.partitionBy("league", "team", f"_has{v}").orderBy("_b").rowsBetween(1 - n, 0)
+        so_far = F.flatten(F.collect_list(v).over(blocks))
+        cells = cells.withColumn(f"_left{v}", so_far)
+        tail = F.slice(F.col(f"_left{v}"), F.greatest(F.size(f"_left{v}") - F.lit(n - 1), F.lit(1)), n)
+        cells = cells.withColumn(f"_left{v}", F.when(F.col(f"_has{v}"), tail))
+    return cells.select(*cell, *[f"_c{k}" for k in sums], F.last("_left_h", ignorenulls=True).over(before).alias("_chl"),
+                        F.last("_left_a", ignorenulls=True).over(before).alias("_cal"))
 
 
 def _last_by_venue(rows: DataFrame, n: int, payload: Column, day: str | None = None) -> DataFrame:
