@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Halley steps after the closed first step; two already reach double precision on real prices.
-SHIN_STEPS = 3
+# Halley steps after the closed first step: two reach double precision at the margins of real prices,
+# six at a margin of 100 % (three prices of 1.01, 1.02 and 900).
+SHIN_STEPS = 6
 
 
 def col(c: str | Column) -> Column:
