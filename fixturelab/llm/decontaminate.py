@@ -102,7 +102,7 @@ class Numbers(dict):
         self.numbers = numbers
 
     def __missing__(self, word: str) -> int:
-        plain = bare(word)
+        plain = word.strip(MARKS).lower()
         value = self.numbers.get(plain, 0) if plain else -1
         if len(word) <= 48:
             if len(self) >= REMEMBERED:
@@ -150,11 +150,21 @@ class Index:
     def allowed(self, n: int) -> int:
         return int(self.settings.edits * n + 1e-9)
 
+    def spared(self, n: int) -> int:
+        """Edits that the best window of an item of n words holds at most: where the item's allowed
+        edits don't all fit the overlap of its windows, the rest is shared between them."""
+        size, k = self.window(n), self.allowed(n)
+        windows = -(-n // size)
+        overlap = windows * size - n
+        return (k + min(k, overlap)) // windows
+
     def _index(self) -> None:
         found: dict[int, list[tuple[int, int, int]]] = {}
         by_size: dict[int, list[int]] = {}
         for at, words in enumerate(self.items):
             by_size.setdefault(self.window(len(words)), []).append(at)
+        #: edits of the best window of any item of the size
+        self.most = {size: max(self.spared(len(self.items[at])) for at in of) for size, of in by_size.items()}
         for size, members in by_size.items():
             starts, owners, offsets, flat = [], [], [], []
             for at in members:
@@ -220,10 +230,9 @@ class Index:
         shared = np.concatenate([[0], np.cumsum(kept), [kept.sum()]])
         items, begins = [], []
         for size, (known, owners, offsets) in self.sizes.items():
-            # Necessary for any match: an unknown word is an edit, and an edit breaks two word pairs
-            # of the window at most, so windows with more unknown words or fewer pairs of items go.
-            longest = 2 * size - 1 if size < self.settings.window else size
-            most = max(self.allowed(longest), self.allowed(size))
+            # Necessary for the best window of any match: an unknown word is an edit, and an edit breaks two
+            # word pairs of the window at most, so windows with more unknown words or fewer pairs of items go.
+            most = self.most[size]
             ends = np.minimum(np.arange(len(symbols)) + size, len(symbols))
             last = np.maximum(ends - 1, np.arange(len(symbols)))
             enough = shared[last] - shared[: len(symbols)] >= size - 1 - 2 * most
@@ -251,7 +260,8 @@ class Index:
         """(text, item, edits, first word, word after the last) of the best match of each found pair."""
         lists = []
         for text in texts:
-            numbers = np.fromiter(map(self.seen.__getitem__, text.split()), np.int64)
+            words = text.split()
+            numbers = np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))
             lists.append(numbers[numbers >= 0])
         gap = np.zeros(1, np.int64)
         bounds = np.cumsum([0, *(len(x) + 1 for x in lists)])
