@@ -17,7 +17,7 @@ def d(x: float) -> str:
 
 
 def r(expr: str, name: str | None = None, digits: int = 6) -> str:
-    return f"round({expr}, {digits}) + 0.0 as {name or expr}"
+    return f"round(({expr}) + 1e-9::double, {digits}) + 0.0 as {name or expr}"
 
 
 def rs(*names: str) -> str:
@@ -450,12 +450,12 @@ def _power(x: str, k: int) -> str:
 
 _goals = ", ".join(f"{{'i': {i}, 'x': {_power('l', i)}}}" for i in range(11))
 _goals_away = ", ".join(f"{{'j': {j}, 'y': {_power('m', j)}}}" for j in range(11))
-add("top_scores", E1 + ["ts0 as (select league, match_seq, cast(greatest(round(xh_hist, 3), 0.05) as double) as l, cast(greatest(round(xa_hist, 3), 0.05) as double) as m from comps)",
+add("top_scores", E1 + ["ts0 as (select league, match_seq, cast(greatest(round(xh_hist + 1e-9::double, 3), 0.05) as double) as l, cast(greatest(round(xa_hist + 1e-9::double, 3), 0.05) as double) as m from comps)",
     f"ts1 as (select league, match_seq, l, m, least(greatest(-0.1, greatest(-1 / l, -1 / m)), least(1 / (l * m), 1.0)) as rho, [{_goals}] as hs, [{_goals_away}] as gs from ts0)",
     "ts2 as (select *, list_sum(list_transform(hs, lambda a: a.x)) * list_sum(list_transform(gs, lambda a: a.y)) as total, unnest(hs) as h from ts1)",
     "ts3 as (select league, match_seq, l, m, rho, total, h.i as i, h.x as x, unnest(gs) as g from ts2)",
     """ts4 as (select league, match_seq, i, g.j as j, x * g.y * (case when i = 0 and g.j = 0 then 1 - l * m * rho when i = 0 and g.j = 1 then 1 + l * rho when i = 1 and g.j = 0 then 1 + m * rho when i = 1 and g.j = 1 then 1 - rho else 1.0 end) / total as p from ts3)""",
-    "ts5 as (select *, row_number() over (partition by league, match_seq order by p desc, i, j) - 1 as place from ts4 qualify place < 5)"],
+    "ts5 as (select *, row_number() over (partition by league, match_seq order by round(p, 12) desc, i, j) - 1 as place from ts4 qualify place < 5)"],
     f"select cast(place as int) as place, i || '-' || j as score, count(*) as n, {r('avg(p)', 'p')} from ts5 where p > 0 group by place, i, j")
 add("meeting_prices", CONTESTS + ["""mp0 as (select *, coalesce(list({'home': home, 'h': coalesce(c1, o1), 'd': coalesce(cx, ox), 'a': coalesce(c2, o2)}) over (partition by league, least(home, away), greatest(home, away) order by match_seq rows between 10 preceding and 1 preceding), []) as met0 from contests)""",
     "mp1 as (select *, case when len(list_filter(met0, lambda x: x.home = home)) > 0 then list_filter(met0, lambda x: x.home = home) else met0 end as used from mp0)",

@@ -37,13 +37,16 @@ def query(fn: Query) -> Query:
 
 
 def out(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Results in plain types: rounded doubles, dates as text, flags as 0/1."""
+    """Results in plain types: rounded doubles, dates as text, flags as 0/1.
+
+    A billionth is added first, so that ties such as 2.0109375 fall alike in every engine.
+    """
     cols = []
     for f in df.schema.fields:
         kind = f.dataType.simpleString()
         c = F.col(f.name)
         if kind in ("double", "float"):
-            c = F.round(c, digits) + F.lit(0.0)
+            c = F.round(c + F.lit(1e-9), digits) + F.lit(0.0)
         elif kind == "date":
             c = c.cast("string")
         elif kind == "boolean":
@@ -395,7 +398,7 @@ def score_outcomes(spark, sf):
 @query
 def top_scores(spark, sf):
     """The five likeliest exact scores."""
-    c = comps(spark, sf).select(*KEY, F.greatest(F.round("xh_hist", 3), F.lit(0.05)).alias("l"), F.greatest(F.round("xa_hist", 3), F.lit(0.05)).alias("m"))
+    c = comps(spark, sf).select(*KEY, *[F.greatest(F.round(F.col(x) + F.lit(1e-9), 3), F.lit(0.05)).alias(n) for x, n in (("xh_hist", "l"), ("xa_hist", "m"))])
     t = S.top_scores(c, "l", "m", -0.10).select(*KEY, F.posexplode("top_scores").alias("place", "_s"))
     return out(t.select(*KEY, "place", F.col("_s.score").alias("score"), F.col("_s.p").alias("p")).where(F.col("p") > 0).groupBy("place", "score").agg(
         F.count(F.lit(1)).alias("n"), F.avg("p").alias("p")))
