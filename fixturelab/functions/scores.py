@@ -134,7 +134,7 @@ def top_scores(df: DataFrame, lam: str, mu: str, rho: float | str | Column, n: i
     """The ``n`` likeliest exact scores as ``array<struct<score, p>>``; ties to twelve digits in (i, j) order."""
     keep = df.columns
     df = score_grid(df, lam, mu, rho, "_grid", max_goals)
-    keyed = F.transform("_grid", lambda x: F.struct((-F.round(x["p"], 12)).alias("neg"), x["i"].alias("i"), x["j"].alias("j"), x["p"].alias("p")))
+    keyed = F.transform("_grid", lambda x: F.struct((-F.floor(x["p"] * 1e12 + 0.5)).alias("neg"), x["i"].alias("i"), x["j"].alias("j"), x["p"].alias("p")))
     best = F.slice(F.array_sort(keyed), 1, n)
     named = F.transform(best, lambda x: F.struct(
         F.concat_ws("-", x["i"].cast("string"), x["j"].cast("string")).alias("score"), x["p"].alias("p")))
