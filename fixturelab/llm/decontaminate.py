@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,24 +34,22 @@ REMEMBERED = 200_000
 
 @dataclass(frozen=True)
 class Settings:
-    """``edits``: share of an item's words that may differ; ``samples``: steps read for one key;
-    ``tables``: repetitions; ``window``: the longest window, which longer items are tiled with;
-    ``min_words``: shorter items are no evidence and match nothing; ``block_bytes``: benchmark text
-    that is broadcast at once, larger benchmarks take more passes over the documents."""
+    """``edits``: share of an item's words that may differ; ``recall``: share of matches to be found,
+    for items of any length and any kind of edit; ``samples``: steps read for one key at most, and
+    ``tables``: repetitions above which fewer steps are read (two at least, then as many repetitions
+    as it takes); ``window``: the longest window, which longer items are tiled with; ``min_words``:
+    shorter items are no evidence and match nothing; ``block_bytes``: benchmark text that is
+    broadcast at once, larger benchmarks take more passes over the documents."""
 
     edits: float = 0.2
+    recall: float = 0.99
     samples: int = 4
-    tables: int = 16
+    tables: int = 64
     window: int = 64
     min_words: int = 5
     block_bytes: int = 8_000_000
 
 
-def tables_for(hit: float, recall: float) -> int:
-    """Repetitions that reach ``recall`` if one finds a pair with probability ``hit``."""
-    return max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - hit))))
-
-
 def _mix(values: np.ndarray) -> np.ndarray:
     values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     values = (values ^ (values >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -94,6 +93,136 @@ def edit_distance(pattern: list[int], text: list[int], anchored: bool = False) -
     return out
 
 
+def steps(size: int, table: int, samples: int) -> list[int]:
+    """The steps that a table reads: distinct, over the three quarters of a walk that stay inside."""
+    draws = np.random.default_rng([size, table]).permutation(max(samples, size * 3 // 2))
+    return sorted(draws[:samples].tolist())
+
+
+def walk(
+    words: np.ndarray, symbols: np.ndarray, starts: np.ndarray, size: int, table: int, samples: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """A table's key of the window at each start (sorted), and whether all its words are known.
+
+    ``words``: a hash of the word of each number."""
+    keys = np.full(len(starts), np.uint64(table * 1_000_003 + size), np.uint64)
+    valid = np.ones(len(starts), bool)
+    walkers, owner = np.unique(starts, return_inverse=True)
+    walkers = walkers.copy()
+    reads = steps(size, table, samples)
+    for step in range(reads[-1] + 1):
+        if step % 64 == 0:
+            seed = np.uint64(size) << np.uint64(40) | np.uint64(table) << np.uint64(20) | np.uint64(step // 64)
+            coins = _mix(words + _mix(np.array([seed]))[0])
+        here = symbols[walkers]
+        if step in reads:
+            word = here[owner]
+            valid &= word > 0
+            keys = _mix(keys * np.uint64(0x9E3779B97F4A7C15) + word.astype(np.uint64))
+        walkers += ((coins[here] >> np.uint64(step % 64)) & np.uint64(1)).astype(np.int64)
+        if step % 8 == 7:
+            new = np.empty(len(walkers), bool)
+            new[0] = True
+            np.not_equal(walkers[1:], walkers[:-1], out=new[1:])
+            if not new.all():
+                owner = (np.cumsum(new) - 1)[owner]
+                walkers = walkers[new]
+    return keys, valid
+
+
+def window(n: int, settings: Settings) -> int:
+    """The window of an item of n words: the largest power of two, or three quarters of one, that
+    fits, up to the longest."""
+    power = 1 << (n.bit_length() - 1)
+    return min(settings.window, power * 3 // 2 if n >= power * 3 // 2 > power else power)
+
+
+def allowed(n: int, settings: Settings) -> int:
+    return int(settings.edits * n + 1e-9)
+
+
+def spared(n: int, settings: Settings) -> int:
+    """Edits that the best window of an item of n words holds at most: where the item's allowed
+    edits don't all fit the overlap of its windows, the rest is shared between them."""
+    size, k = window(n, settings), allowed(n, settings)
+    windows = -(-n // size)
+    overlap = windows * size - n
+    return (k + min(k, overlap)) // windows
+
+
+def most_edits(lengths: list[int], settings: Settings) -> dict[int, int]:
+    """Edits of the best window of any item, by the size of the window."""
+    most: dict[int, int] = {}
+    for n in set(lengths):
+        size = window(n, settings)
+        most[size] = max(most.get(size, 0), spared(n, settings))
+    return most
+
+
+#: Kinds of edits of trial pairs: words replaced, inserted, deleted, or any of them.
+KINDS = ("replace", "insert", "delete", "mixed")
+#: Trial pairs of each kind.
+TRIALS = 400
+
+
+def edited(words: list[int], edits: int, kind: str, rng: np.random.Generator) -> list[int]:
+    """The words after so many edits at random places; 0 is a word that no item has."""
+    out = list(words)
+    for _ in range(edits):
+        own = kind if kind != "mixed" else KINDS[rng.integers(3)]
+        at = int(rng.integers(len(out)))
+        if own == "replace":
+            out[at] = 0
+        elif own == "insert":
+            out.insert(at, 0)
+        elif len(out) > 1:
+            del out[at]
+    return out
+
+
+@lru_cache(maxsize=256)
+def repetitions(size: int, edits: int, settings: Settings) -> tuple[int, int]:
+    """Steps to read for a key and tables, so that a window of ``size`` distinct words that holds
+    ``edits`` edits of any kind is found with ``settings.recall`` at least.
+
+    The tables are tried on pairs of a window and its edited copy among unknown words, until each
+    kind of edits reaches the recall; pairs differ in their chance, so that a mean hit rate of one
+    table would promise too much.
+    """
+    rng = np.random.default_rng([size, edits])
+    words = rng.integers(0, 1 << 64, 1 + len(KINDS) * TRIALS * size, dtype=np.uint64)
+    words[0] = 0
+    flat, copies, first, begins = [], [], [], []
+    for pair in range(len(KINDS) * TRIALS):
+        own = list(range(1 + pair * size, 1 + (pair + 1) * size))
+        first.append(len(flat))
+        flat += [*own, *[0] * (2 * size)]
+        begins.append(len(copies) + size)
+        copies += [*[0] * size, *edited(own, edits, KINDS[pair // TRIALS], rng), *[0] * (2 * size)]
+    item, copy, first, begins = (np.array(x, np.int64) for x in (flat, copies, first, begins))
+    shifts = np.arange(-edits, edits + 1)
+    for samples in range(min(settings.samples, size), 0, -1):
+        left = np.arange(len(first))
+        table = 0
+        while len(left):
+            wanted, inside = walk(words, item, first[left], size, table, samples)
+            places = (begins[left][:, None] + shifts).ravel()
+            found, valid = walk(words, copy, places, size, table, samples)
+            hit = (found.reshape(len(left), -1) == wanted[:, None]) & valid.reshape(len(left), -1) & inside[:, None]
+            left = left[~hit.any(axis=1)]
+            table += 1
+            if np.bincount(left // TRIALS, minlength=len(KINDS)).max() <= (1 - settings.recall) * TRIALS:
+                return samples, table
+            if table >= settings.tables and samples > 2:
+                break
+    raise ValueError(f"recall {settings.recall} can't be reached")
+
+
+def planned(lengths: list[int], settings: Settings) -> dict[int, tuple[int, int]]:
+    """Steps to read and tables of each window size, for items of so many words."""
+    return {size: repetitions(size, most, settings) for size, most in most_edits(lengths, settings).items()}
+
+
 class Numbers(dict):
     """Number of a word as written: 0 if no item has it, -1 if nothing is left of it."""
 
@@ -114,7 +243,9 @@ class Numbers(dict):
 class Index:
     """Keys of the windows of a block of items."""
 
-    def __init__(self, items: list[tuple[str, str]], settings: Settings):
+    def __init__(
+        self, items: list[tuple[str, str]], settings: Settings, plan: dict[int, tuple[int, int]] | None = None
+    ):
         self.settings = settings
         self.names: list[str] = []
         self.items: list[list[int]] = []
@@ -130,12 +261,16 @@ class Index:
             [0, *(xxhash.xxh64_intdigest(w.encode()) for w in self.numbers)], np.uint64
         )
         self.seen = Numbers(self.numbers)
-        #: hashed set of the items' word pairs (a pair of items' words may be taken for one of them)
-        self.pairs = np.zeros(1 << 22, bool)
+        #: for each window size, the words of its items, and a hashed set of their word pairs (a pair of
+        #: items' words may be taken for one of them)
+        self.words: dict[int, np.ndarray] = {}
+        self.pairs: dict[int, np.ndarray] = {}
         for words in self.items:
-            own = np.array(words, np.int64)
-            self.pairs[self._pair(own[:-1], own[1:])] = True
+            size, own = window(len(words), settings), np.array(words, np.int64)
+            self.words.setdefault(size, np.zeros(len(self.numbers) + 1, bool))[own] = True
+            self.pairs.setdefault(size, np.zeros(1 << 22, bool))[self._pair(own[:-1], own[1:])] = True
         self.sizes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.plan = planned([len(x) for x in self.items], settings) if plan is None else plan
         self._index()
 
     @staticmethod
@@ -143,28 +278,15 @@ class Index:
         mixed = (left * 0x9E3779B1 + right).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         return (mixed >> np.uint64(42)).astype(np.int64)
 
-    def window(self, n: int) -> int:
-        """The window of an item of n words: the largest power of two that fits, up to the longest."""
-        return min(self.settings.window, 1 << (n.bit_length() - 1))
-
     def allowed(self, n: int) -> int:
-        return int(self.settings.edits * n + 1e-9)
-
-    def spared(self, n: int) -> int:
-        """Edits that the best window of an item of n words holds at most: where the item's allowed
-        edits don't all fit the overlap of its windows, the rest is shared between them."""
-        size, k = self.window(n), self.allowed(n)
-        windows = -(-n // size)
-        overlap = windows * size - n
-        return (k + min(k, overlap)) // windows
+        return allowed(n, self.settings)
 
     def _index(self) -> None:
-        found: dict[int, list[tuple[int, int, int]]] = {}
         by_size: dict[int, list[int]] = {}
         for at, words in enumerate(self.items):
-            by_size.setdefault(self.window(len(words)), []).append(at)
+            by_size.setdefault(window(len(words), self.settings), []).append(at)
         #: edits of the best window of any item of the size
-        self.most = {size: max(self.spared(len(self.items[at])) for at in of) for size, of in by_size.items()}
+        self.most = most_edits([len(x) for x in self.items], self.settings)
         for size, members in by_size.items():
             starts, owners, offsets, flat = [], [], [], []
             for at in members:
@@ -177,62 +299,32 @@ class Index:
                 flat += words
                 flat += [0] * (2 * size)  # a walk that leaves its item reads unknown words
             symbols = np.array(flat, np.int64)
-            for table in range(self.settings.tables):
-                keys, valid = self.keys(symbols, np.array(starts, np.int64), size, table)
-                for key, owner, offset in zip(
-                    keys[valid].tolist(), np.array(owners)[valid].tolist(), np.array(offsets)[valid].tolist()
-                ):
-                    found.setdefault(size, []).append((key, owner, offset))
-        for size, rows in found.items():
-            rows.sort()
-            self.sizes[size] = (
-                np.array([r[0] for r in rows], np.uint64),
-                np.array([r[1] for r in rows], np.int64),
-                np.array([r[2] for r in rows], np.int64),
-            )
-
-    def steps(self, size: int, table: int) -> list[int]:
-        """The steps that a table reads: distinct, over the three quarters of a walk that stay inside."""
-        draws = np.random.default_rng([size, table]).permutation(max(self.settings.samples, size * 3 // 2))
-        return sorted(draws[: self.settings.samples].tolist())
+            owner, offset = np.array(owners, np.int32), np.array(offsets, np.int32)
+            keys, rows = [], []
+            for table in range(self.plan[size][1]):
+                own, valid = self.keys(symbols, np.array(starts, np.int64), size, table)
+                keys.append(own[valid])
+                rows.append(np.flatnonzero(valid).astype(np.int32))
+            key, row = np.concatenate(keys), np.concatenate(rows)
+            order = np.argsort(key, kind="stable")
+            if len(order):
+                self.sizes[size] = key[order], owner[row[order]], offset[row[order]]
 
     def keys(self, symbols: np.ndarray, starts: np.ndarray, size: int, table: int) -> tuple[np.ndarray, np.ndarray]:
-        """A table's key of the window at each start (sorted), and whether all its words are known."""
-        keys = np.full(len(starts), np.uint64(table * 1_000_003 + size), np.uint64)
-        valid = np.ones(len(starts), bool)
-        walkers, owner = np.unique(starts, return_inverse=True)
-        walkers = walkers.copy()
-        reads = self.steps(size, table)
-        for step in range(reads[-1] + 1):
-            if step % 64 == 0:
-                seed = np.uint64(size) << np.uint64(40) | np.uint64(table) << np.uint64(20) | np.uint64(step // 64)
-                coins = _mix(self.coins + _mix(np.array([seed]))[0])
-            here = symbols[walkers]
-            if step in reads:
-                word = here[owner]
-                valid &= word > 0
-                keys = _mix(keys * np.uint64(0x9E3779B97F4A7C15) + word.astype(np.uint64))
-            walkers += ((coins[here] >> np.uint64(step % 64)) & np.uint64(1)).astype(np.int64)
-            if step % 8 == 7:
-                new = np.empty(len(walkers), bool)
-                new[0] = True
-                np.not_equal(walkers[1:], walkers[:-1], out=new[1:])
-                if not new.all():
-                    owner = (np.cumsum(new) - 1)[owner]
-                    walkers = walkers[new]
-        return keys, valid
+        return walk(self.coins, symbols, starts, size, table, self.plan[size][0])
 
     def candidates(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Items and their presumed begins among the windows of a run of texts."""
-        strange = symbols == 0
-        unknown = np.concatenate([[0], np.cumsum(strange)])
-        kept = self.pairs[self._pair(symbols[:-1], symbols[1:])] & ~strange[:-1] & ~strange[1:]
-        shared = np.concatenate([[0], np.cumsum(kept), [kept.sum()]])
+        pair = self._pair(symbols[:-1], symbols[1:])
         items, begins = [], []
         for size, (known, owners, offsets) in self.sizes.items():
-            # Necessary for the best window of any match: an unknown word is an edit, and an edit breaks two
-            # word pairs of the window at most, so windows with more unknown words or fewer pairs of items go.
+            # Necessary for the best window of any match: a word that no item of the size has is an edit, and an
+            # edit breaks two word pairs of the window at most, so windows with more such words or fewer pairs go.
             most = self.most[size]
+            strange = ~self.words[size][symbols]
+            unknown = np.concatenate([[0], np.cumsum(strange)])
+            kept = self.pairs[size][pair] & ~strange[:-1] & ~strange[1:]
+            shared = np.concatenate([[0], np.cumsum(kept), [kept.sum()]])
             ends = np.minimum(np.arange(len(symbols)) + size, len(symbols))
             last = np.maximum(ends - 1, np.arange(len(symbols)))
             enough = shared[last] - shared[: len(symbols)] >= size - 1 - 2 * most
@@ -240,7 +332,7 @@ class Index:
             if not len(starts):
                 continue
             padded = np.concatenate([symbols, np.zeros(2 * size, np.int64)])
-            for table in range(self.settings.tables):
+            for table in range(self.plan[size][1]):
                 keys, valid = self.keys(padded, starts, size, table)
                 rows = np.flatnonzero(valid)
                 low = np.searchsorted(known, keys[rows], "left")
@@ -272,12 +364,15 @@ class Index:
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         done: dict[tuple[int, int], int] = {}
         order = np.lexsort((begins, items))
-        for item, begin in zip(items[order].tolist(), begins[order].tolist()):
+        items, begins = items[order], begins[order]
+        # the window's begin is off by an edit each at most, and it may lie before the text
+        middles = np.maximum(begins, 0) + np.array([len(x) // 2 for x in self.items], np.int64)[items]
+        middles = np.clip(np.searchsorted(bounds, middles, "right") - 1, 0, len(texts) - 1)
+        firsts = np.maximum(np.searchsorted(bounds, np.maximum(begins, 0), "right") - 1, 0)
+        for item, begin, *owners in zip(items.tolist(), begins.tolist(), middles.tolist(), firsts.tolist()):
             pattern = self.items[item]
             n, k = len(pattern), self.allowed(len(pattern))
-            # the window's begin is off by an edit each at most, and it may lie before the text
-            text = int(np.searchsorted(bounds, max(begin, 0) + n // 2, "right")) - 1
-            for owner in {max(0, min(text, len(texts) - 1)), max(0, int(np.searchsorted(bounds, max(begin, 0), "right")) - 1)}:
+            for owner in set(owners):
                 if owner >= len(texts):
                     continue
                 low = max(begin - 2 * k, int(bounds[owner]))
@@ -306,6 +401,8 @@ _SCHEMA = "item_key string, n_words int, edits int, first_word long, end_word lo
 
 
 def _find(docs: DataFrame, items: list[tuple[str, str]], settings: Settings) -> DataFrame:
+    lengths = [n for n in (len(item_words(text)) for _, text in items) if n >= settings.min_words]
+    plan = planned(lengths, settings)
     shared = docs.sparkSession.sparkContext.broadcast(items)
     name = hashlib.sha256(repr((sorted(items), settings)).encode()).hexdigest()
     kind = dict(docs.dtypes)["doc_id"]
@@ -314,7 +411,7 @@ def _find(docs: DataFrame, items: list[tuple[str, str]], settings: Settings) ->
     )
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = kept("decontamination", name, lambda: Index(shared.value, settings))
+        index = kept("decontamination", name, lambda: Index(shared.value, settings, plan))
         for batch in batches:
             for part in slices(batch, 1, 4_000_000):
                 found = list(index.matches([x or "" for x in part.column(1).to_pylist()]))

@@ -464,6 +464,32 @@ def test_leaks_and_recall(spark):
     assert kept == {d for d, _ in docs} - {d for d, _ in found}
 
 
+@pytest.mark.parametrize("length", [16, 32, 64, 65, 128])
+def test_recall_by_length_and_kind_of_edit(length):
+    rng = random.Random(length)
+    settings = decontaminate.Settings()
+    items = [(f"{k:03d}", " ".join(f"w{rng.randrange(100_000)}" for _ in range(length))) for k in range(150)]
+    index = decontaminate.Index(items, settings)
+    for kind in decontaminate.KINDS:
+        texts = []
+        for _, item in items:
+            own = item.split()
+            for _ in range(int(settings.edits * length)):
+                how, at = kind if kind != "mixed" else rng.choice(["replace", "insert", "delete"]), rng.randrange(len(own))
+                if how == "insert":
+                    own.insert(at, "more")
+                else:
+                    own[at : at + 1] = ["other"] if how == "replace" else []
+            texts.append(" ".join(["around"] * 20 + own + ["around"] * 20))
+        found = {(text, item) for text, item, *_ in index.matches(texts)}
+        assert sum((k, k) in found for k in range(len(items))) >= (settings.recall - 0.02) * len(items), kind
+
+
+def test_repetitions_follow_the_recall():
+    few, many = (decontaminate.repetitions(16, 3, decontaminate.Settings(recall=r)) for r in (0.8, 0.99))
+    assert few[0] >= many[0] and few[1] < many[1]
+
+
 def test_decontamination_of_awkward_rows(spark, awkward, nothing):
     copy = next(t for i, t, *_ in awkward_rows() if i == 6)
     bench = spark.createDataFrame([(1, copy), (2, None), (3, ""), (None, copy), (4, "one")], "item_id long, text string")
