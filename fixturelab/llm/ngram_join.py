@@ -359,12 +359,20 @@ def with_class(rows: DataFrame, n: int) -> DataFrame:
 
 
 def keep_first_of_group(docs: DataFrame, threshold: float = 0.8, n: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents whose id is the smallest of its class; all columns pass through.
+    """One row of each class of near copies, whatever ids its rows have; all columns pass through.
 
-    Rows with a null id or without words stay. Repeated rows of a kept id stay once.
+    Rows are judged one by one. Of a class stays a row of the smallest id; of several texts of that id
+    the one with the smallest hash, of equal rows any one. Rows with a null id or without words stay.
     """
-    judged = jaccard_join(docs, threshold, n, key=key, text=text)
-    gone = judged.where("doc_id is not null and doc_id != class_id").select(F.col("doc_id")).distinct()
-    mark = fresh(docs, "_gone")
-    left = docs.join(gone.withColumnRenamed("doc_id", mark), docs[key] == F.col(mark), "left_anti")
-    return left
+    row = fresh(docs, "_row")
+    # numbers that a second reading can't change
+    marked = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    judged = jaccard_join(marked, threshold, n, key=row, text=text).select(F.col("doc_id").alias("row"), "class_id")
+    named = marked.select(F.col(row).alias("row"), F.col(key).alias("id"), F.md5(F.col(text)).alias("digest"))
+    firsts = (
+        judged.join(named.where("id is not null"), "row")
+        .groupBy("class_id")
+        .agg(F.min(F.struct("id", "digest", "row")).alias("first"))
+    )
+    stay = firsts.select(F.col("first.row").alias(row)).unionAll(named.where("id is null").select(F.col("row").alias(row)))
+    return marked.join(stay, row, "left_semi").drop(row)

@@ -403,6 +403,20 @@ def test_join_on_awkward_rows(spark, awkward, nothing):
     assert ngram_join.jaccard_join(nothing).count() == 0
 
 
+def test_first_of_group_by_row(spark):
+    rng = random.Random(31)
+    copied, alone, shared = (words(rng, 60) for _ in range(3))
+    near = copied + " more"
+    rows = [(5, copied)] * 4 + [(8, near), (9, alone), (9, near), (9, near)]
+    rows += [(None, shared), (3, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = Counter((r.doc_id, r.text) for r in ngram_join.keep_first_of_group(docs).collect())
+    assert kept == Counter([(5, copied), (9, alone), (None, shared), (3, None), (3, "")])
+    # of two texts of the smallest id one stays
+    both = spark.createDataFrame([(1, near), (1, copied), (2, copied)], "doc_id long, text string")
+    assert [r.doc_id for r in ngram_join.keep_first_of_group(both).collect()] == [1]
+
+
 # --- decontamination --------------------------------------------------------------------------
 
 
