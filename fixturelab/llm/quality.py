@@ -65,10 +65,10 @@ _DUPLICATES = _bind(
 
 @dataclass(frozen=True)
 class Settings:
-    """``trusted`` bounds the trusted documents (those with the smallest hashes of their ids)."""
+    """``unseen``: one of so many trusted documents (by a hash of the id) is for the threshold."""
 
     buckets: int = 1 << 16
-    trusted: int = 20_000
+    unseen: int = 4
     smoothing: float = 1.0
     false_rejects: float = 0.005
 
@@ -88,16 +88,23 @@ def base_columns(text: Column) -> dict[str, Column]:
 
 
 def gram_counts(docs: DataFrame, settings: Settings) -> DataFrame:
-    """``bucket`` and ``n`` of all words and word pairs; counted in each task before the shuffle."""
+    """``bucket``, ``n`` of all words and word pairs, and ``target`` of those in rows with a true ``fit``;
+    counted in each task before the shuffle."""
     grams = _bind("w", _WORDS, _GRAMS.format(b=settings.buckets))
-    return docs.select(F.explode(F.expr(grams)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    return (
+        docs.select("fit", F.explode(F.expr(grams)).alias("bucket"))
+        .groupBy("bucket")
+        .agg(F.count("*").alias("n"), F.count_if("fit").alias("target"))
+    )
 
 
-def _table(counts: DataFrame, settings: Settings) -> np.ndarray:
-    dense = np.zeros(settings.buckets)
+def _tables(counts: DataFrame, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Dense counts of the trusted documents and of the corpus."""
     rows = counts.toPandas()  # at most settings.buckets rows
-    dense[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
-    return dense
+    target, corpus = np.zeros(settings.buckets), np.zeros(settings.buckets)
+    target[rows["bucket"].to_numpy(np.int64)] = rows["target"].to_numpy(np.float64)
+    corpus[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
+    return target, corpus
 
 
 def log_ratios(trusted: np.ndarray, corpus: np.ndarray, smoothing: float) -> np.ndarray:
@@ -110,15 +117,12 @@ def log_ratios(trusted: np.ndarray, corpus: np.ndarray, smoothing: float) -> np.
 
 
 def trusted_ids(labels: DataFrame, settings: Settings) -> DataFrame:
-    """``id`` and ``fit`` (true: for the counts; false: for the threshold) of the trusted sample."""
+    """``id`` and ``fit`` (true: for the counts; false: for the threshold) of all trusted documents."""
     return (
         labels.where("quality = 1 and doc_id is not null")
         .select(F.col("doc_id").alias("id"))
         .distinct()
-        .withColumn("order", F.xxhash64("id"))
-        .orderBy("order", "id")
-        .limit(settings.trusted)
-        .select("id", (F.pmod("order", F.lit(4)) != 0).alias("fit"))
+        .select("id", (F.pmod(F.xxhash64("id"), F.lit(settings.unseen)) != 0).alias("fit"))
     )
 
 
@@ -148,13 +152,13 @@ def judge_quality(docs: DataFrame, labels: DataFrame, settings: Settings = Setti
     Windows of three words are compared by 64-bit hashes within one text.
     """
     rows = _plain(docs.select("doc_id", "text"), "text").select("doc_id", "_text")
-    # the sample is bounded by settings.trusted, 9 bytes each
-    chosen = F.broadcast(trusted_ids(labels, settings))
-    known = rows.join(chosen, rows["doc_id"] == chosen["id"])
-    corpus = _table(gram_counts(rows, settings), settings)
-    target = _table(gram_counts(known.where("fit").select("_text"), settings), settings)
+    # as many ids as trusted documents: Spark broadcasts them if they are few, else both sides are shuffled
+    chosen = trusted_ids(labels, settings)
+    same = F.col("doc_id") == F.col("id")
+    counts = gram_counts(rows.join(chosen.where("fit"), same, "left"), settings)
+    target, corpus = _tables(counts, settings)
     ratios = log_ratios(target, corpus, settings.smoothing) if target.sum() else np.zeros(settings.buckets)
-    unseen = scored(known.where("not fit").select("doc_id", "_text"), ratios, settings).where("n_words >= 50")
+    unseen = scored(rows.join(chosen.where("not fit"), same).select("doc_id", "_text"), ratios, settings).where("n_words >= 50")
     cut = unseen.agg(F.percentile("log_ratio", settings.false_rejects).alias("cut")).first()["cut"]
     threshold = F.lit(float(cut) if cut is not None and target.sum() else float("-inf"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

@@ -296,6 +296,16 @@ def test_quality_scores(spark):
         assert r.log_ratio == pytest.approx(np.mean(ratios[buckets((good + bad)[r.doc_id])]), abs=1e-6)
 
 
+def test_all_trusted_documents_count(spark):
+    settings = quality.Settings()
+    ids = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    fit = quality.trusted_ids(ids, settings)
+    assert fit.count() == 30_000 and 22_000 < fit.where("fit").count() < 23_000
+    rows = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("word").alias("_text"))
+    counts = quality.gram_counts(rows.join(fit.where("fit"), F.col("doc_id") == F.col("id"), "left"), settings).collect()
+    assert [(r.n, r.target) for r in counts] == [(30_000, fit.where("fit").count())]
+
+
 def signed(x):
     return x - (1 << 64) if x >= 1 << 63 else x
 
