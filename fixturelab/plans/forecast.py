@@ -44,13 +44,29 @@ def tallies(meetings: Column, home: Column) -> list[Column]:
             count(lambda x: lead(x) < 0).alias("met_lost")]
 
 
+NO_HISTORY = "no history for a team"
+
+
+def with_history(history: DataFrame, fixtures: DataFrame) -> DataFrame:
+    """Set ``reason`` of the fixtures that have none yet and a team without matches in the league's history."""
+    teams = history.select("league", F.explode(F.array("home", "away")).alias("_team")).distinct()
+    side = lambda name: teams.select("league", F.col("_team").alias(name), F.lit(True).alias(f"_known_{name}"))
+    f = fixtures.join(side("home"), ["league", "home"], "left").join(side("away"), ["league", "away"], "left")
+    missing = F.col("_known_home").isNull() | F.col("_known_away").isNull()
+    own = F.col("reason") if "reason" in fixtures.columns else F.lit(None).cast("string")
+    return f.select(*[c for c in fixtures.columns if c != "reason"], F.coalesce(own, F.when(missing, F.lit(NO_HISTORY))).alias("reason"))
+
+
 def forecast(history: DataFrame, fixtures: DataFrame, form: float = 0.0, meet: float = 0.0, odds: float = 1.0, rho: float = RHO,
              half_life: float | None = HALF_LIFE, n_form: int = 3, n_meet: int = 10) -> DataFrame:
     """Forecast every fixture (league, home, away, optional o1, ox, o2) from the whole history.
 
     A fixture's own prices are used when all exceed one; otherwise prices of past meetings stand in.
-    Fixtures with a team that has no history are left out.
+    Fixtures with a team that has no history come back without numbers and with a ``reason``.
     """
+    judged = with_history(history, fixtures.drop("reason"))
+    rejected = judged.where(F.col("reason").isNotNull())
+    fixtures = judged.where(F.col("reason").isNull()).drop("reason")
     ref = history.groupBy("league").agg(F.max("d").alias("_ref"))
     dated = history.join(F.broadcast(ref), "league")
     means = D.league_means(dated, F.col("_ref"), half_life)
@@ -89,17 +105,19 @@ def forecast(history: DataFrame, fixtures: DataFrame, form: float = 0.0, meet: f
     f = score_outcomes(f, "xh", "xa", rho, {k: k for k in ("over15", "over25", "under25")})
     f = f.withColumn("goals", F.col("xh") + F.col("xa"))
     f = top_scores(f, "xh", "xa", rho)
-    return f.select(*fixtures.columns, "xh", "xa", "p1", "px", "p2", "p1_base", "px_base", "p2_base", "has_odds", "q1", "qx", "q2",
+    f = f.select(*fixtures.columns, "xh", "xa", "p1", "px", "p2", "p1_base", "px_base", "p2_base", "has_odds", "q1", "qx", "q2",
                     "over15", "over25", "under25", "goals", "met", "met_gf", "met_ga", "met_won", "met_drawn", "met_lost", "top_scores")
+    return f.unionByName(rejected, allowMissingColumns=True)
 
 
 def build_slips(history: DataFrame, fixtures: DataFrame, by: Sequence[str], order: Sequence[str], size: int = 13, threshold: float = 0.55,
                 markets: str = "both", weights: tuple[float, float, float] = (0.0, 0.0, 1.0)) -> tuple[DataFrame, DataFrame]:
-    """Picks of valid fixtures (selected or excluded) and the summary of each slip."""
-    checked = P.validate(fixtures)
+    """Picks of all fixtures (selected, excluded, or rejected with a ``reason``) and the summary of each slip."""
+    checked = with_history(history, P.validate(fixtures))
     f = forecast(history, checked.where(F.col("reason").isNull()).drop("reason"), *weights)
     w = F.lit(float(weights[2]))
     totals = O.analyse_over_under(f, "oover", "ounder", "over25", w).withColumnRenamed("prob_over", "p_over")
     picks = P.market_candidates(totals, markets=markets)
     picks = P.select_top(picks, by, size, threshold, order)
-    return picks, P.summarise(picks.where("selected"), by)
+    rejected = checked.where(F.col("reason").isNotNull()).withColumn("selected", F.lit(False))
+    return picks.unionByName(rejected, allowMissingColumns=True), P.summarise(picks.where("selected"), by)
