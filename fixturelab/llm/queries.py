@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from fixturelab.llm import (
     bpe,
     decontaminate,
+    fill_middle,
     line_dedup,
     ngram_join,
     packing,
     quality,
+    secret_scan,
     sharding,
+    spelling,
     token_counts,
     toxicity,
     urls,
@@ -105,3 +108,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
         public_tokenizers.PATTERN,
     )
+
+
+@register
+def op11_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
+@register
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.middle_digest(fill_middle.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+@register
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.findings_digest(secret_scan.scan_secrets(docs, secret_scan.train(docs)))
