@@ -3,7 +3,8 @@
 The ratio compares two smoothed multinomials over hashed words and word pairs: one counted on trusted
 documents, one on the whole corpus. A document's score is its mean log ratio for each n-gram; the
 threshold is a low quantile of the scores of trusted documents that the counts have not seen.
-DataFrame and SQL functions only.
+DataFrame and SQL functions only. Only texts whose id is probably trusted, by a bitmap of fixed size,
+meet the labels by shuffle, once; all others are counted where they are read.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import numpy as np
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
+from fixturelab.llm.common import written
+
 #: Characters counted as symbols (fixed by the rule).
 SYMBOLS = "#*$%&|<>"
 
@@ -65,10 +68,14 @@ _DUPLICATES = _bind(
 
 @dataclass(frozen=True)
 class Settings:
-    """``unseen``: one of so many trusted documents (by a hash of the id) is for the threshold."""
+    """``unseen``: one of so many trusted documents (by a hash of the id) is for the threshold;
+    ``id_bits``: size of the bitmap of trusted ids, and so of what is broadcast (8 MB); ``salts``: parts
+    into which the rows of one id are dealt when they meet its label."""
 
     buckets: int = 1 << 16
     unseen: int = 4
+    id_bits: int = 1 << 26
+    salts: int = 16
     smoothing: float = 1.0
     false_rejects: float = 0.005
 
@@ -126,21 +133,89 @@ def trusted_ids(labels: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
-def scored(docs: DataFrame, ratios: np.ndarray, settings: Settings) -> DataFrame:
-    """The documents (with ``_text``) and their word counts, repeats and mean log ratio."""
+def with_grams(docs: DataFrame, settings: Settings, repeats: bool) -> DataFrame:
+    """The documents (with ``_text``) and ``_m``: number of words, hashed grams and, if asked, repeated words."""
+    counted = f"'r', {_REPEATED}, " if repeats else ""
+    return docs.withColumn(
+        "_m", F.expr(_bind("w", _WORDS, f"named_struct('n', size(w), {counted}'g', {_GRAMS.format(b=settings.buckets)})"))
+    )
+
+
+def mean_ratio(ratios: np.ndarray) -> Column:
+    """Mean of the log ratios of ``_m.g``, 0 without grams."""
     table = F.split(F.lit(",".join(f"{x:.9g}" for x in ratios)), ",").cast("array<double>")
-    grams = _bind("w", _WORDS, f"named_struct('n', size(w), 'r', {_REPEATED}, 'g', {_GRAMS.format(b=settings.buckets)})")
-    with_grams = docs.withColumn("_m", F.expr(grams))
     total = F.aggregate("_m.g", F.lit(0.0), lambda sum_, b: sum_ + F.get(table, b.cast("int")))
-    return with_grams.withColumns(
+    return total / F.greatest(F.size("_m.g"), F.lit(1))
+
+
+def scored(docs: DataFrame, ratios: np.ndarray, settings: Settings) -> DataFrame:
+    """The documents (with ``_text``) and their word counts, repeats and mean log ratio."""
+    return with_grams(docs, settings, repeats=True).withColumns(
         {
             "n_words": F.col("_m.n").cast("long"),
             "n_repeat_words": F.col("_m.r").cast("long"),
-            "log_ratio": total / F.greatest(F.size("_m.g"), F.lit(1)),
+            "log_ratio": mean_ratio(ratios),
         }
     ).drop("_m")
 
 
+#: Bits of one bitmap row (fixed by ``bitmap_construct_agg``).
+_ROW_BITS = 32_768
+
+
+def probably_trusted(rows: DataFrame, ids: DataFrame, settings: Settings) -> DataFrame:
+    """The rows with ``_maybe``: false only if the id is not in ``ids``.
+
+    One bit for each hash of an id: ``id_bits`` bits in all, whatever the number of ids; more ids only
+    make more rows that turn out to have no label.
+    """
+
+    def place(key: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(settings.id_bits))
+
+    bitmaps = ids.select(place("id").alias("p")).groupBy(F.expr(f"p div {_ROW_BITS}").alias("_row")).agg(
+        F.bitmap_construct_agg(F.col("p") % _ROW_BITS).alias("_bits")
+    )
+    at = rows.withColumn("_p", place("doc_id")).withColumn("_row", F.expr(f"_p div {_ROW_BITS}"))
+    byte = F.expr(f"cast(conv(hex(substring(_bits, cast((_p % {_ROW_BITS}) div 8 as int) + 1, 1)), 16, 10) as int)")
+    bit = F.expr("cast(_p % 8 as int)")
+    found = F.col("doc_id").isNotNull() & F.col("_bits").isNotNull() & (F.get(F.array(*[byte.bitwiseAND(1 << i) for i in range(8)]), bit) > 0)
+    return at.join(F.broadcast(bitmaps), "_row", "left").select(*rows.columns, found.alias("_maybe"))
+
+
+def with_labels(rows: DataFrame, ids: DataFrame, settings: Settings) -> DataFrame:
+    """``_text`` and ``fit`` (null: no trusted id) of the rows, by one shuffle at every size; the rows of
+    one id are dealt to ``salts`` tasks."""
+    dealt = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(settings.salts)))
+    every = F.explode(F.expr(f"sequence(0L, {settings.salts - 1}L)"))
+    known = ids.select(F.col("id").alias("doc_id"), "fit", every.alias("_salt"))
+    return dealt.join(known.hint("merge"), ["doc_id", "_salt"], "left").select("_text", "fit")
+
+
+def low_value(values: DataFrame, name: str, share: float, bins: int = 1024) -> float | None:
+    """The value at rank floor(share x (n - 1)) of a column without nulls, exactly; null without rows.
+
+    A histogram of ``bins`` bins shows the bin of that rank, and the next pass looks at the range of
+    its values only, until one value or at most ``bins`` rows are left.
+    """
+    x = F.col(name)
+    low, high, left = values.agg(F.min(x), F.max(x), F.count("*")).first()
+    if not left:
+        return None
+    rank = int(share * (left - 1))
+    while low < high:
+        inside = values.where(x.between(low, high))
+        if left <= bins:
+            return sorted(r[0] for r in inside.select(x).collect())[rank]
+        place = F.least(F.floor((x - low) / ((high - low) / bins)), F.lit(bins - 1)).alias("bin")
+        rows = sorted(inside.groupBy(place).agg(F.count("*"), F.min(x), F.max(x)).collect())
+        for _, left, low, high in rows:
+            if rank < left:
+                break
+            rank -= left
+    return low
+
+
 def judge_quality(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Counts, score and verdict of every whole text: ``doc_id``, ``n_words``, ``word_chars``,
     ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``, ``log_ratio``, ``threshold``, ``base_failed``
@@ -152,15 +227,17 @@ def judge_quality(docs: DataFrame, labels: DataFrame, settings: Settings = Setti
     Windows of three words are compared by 64-bit hashes within one text.
     """
     rows = _plain(docs.select("doc_id", "text"), "text").select("doc_id", "_text")
-    # as many ids as trusted documents: Spark broadcasts them if they are few, else both sides are shuffled
-    chosen = trusted_ids(labels, settings)
-    same = F.col("doc_id") == F.col("id")
-    counts = gram_counts(rows.join(chosen.where("fit"), same, "left"), settings)
+    chosen = written(trusted_ids(labels, settings), "trusted-ids")
+    sorted_out = probably_trusted(rows, chosen, settings)
+    met = written(with_labels(sorted_out.where("_maybe").drop("_maybe"), chosen, settings), "trusted-texts")
+    others = sorted_out.where("not _maybe").select("_text", F.lit(False).alias("fit"))
+    counts = gram_counts(others.unionAll(met.select("_text", F.coalesce("fit", F.lit(False)).alias("fit"))), settings)
     target, corpus = _tables(counts, settings)
     ratios = log_ratios(target, corpus, settings.smoothing) if target.sum() else np.zeros(settings.buckets)
-    unseen = scored(rows.join(chosen.where("not fit"), same).select("doc_id", "_text"), ratios, settings).where("n_words >= 50")
-    cut = unseen.agg(F.percentile("log_ratio", settings.false_rejects).alias("cut")).first()["cut"]
-    threshold = F.lit(float(cut) if cut is not None and target.sum() else float("-inf"))
+    # read from the written table, so that no text but those for the threshold is looked at
+    unseen = with_grams(met.where("not fit"), settings, repeats=False).where("_m.n >= 50")
+    cut = low_value(written(unseen.select(mean_ratio(ratios).alias("log_ratio")), "unseen-scores"), "log_ratio", settings.false_rejects)
+    threshold = F.lit(cut if cut is not None and target.sum() else float("-inf"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
         scored(rows.withColumns(base_columns(F.col("_text"))), ratios, settings)
