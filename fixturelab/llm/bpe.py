@@ -10,7 +10,9 @@ at worst, which suits very long pieces.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 from heapq import heappop, heappush
 from struct import pack
@@ -30,6 +32,72 @@ REMEMBERED = 700_000
 REMEMBERED_PIECES = 600_000
 
 
+#: The classes of the split pattern whose members depend on a library's Unicode version.
+CLASSES = (r"\p{L}", r"\p{N}")
+
+#: Code points of each class that only our pattern, and that only the library has, as sets in brackets.
+Departures = tuple[tuple[str, str, str], ...]
+
+
+def every_character() -> str:
+    """All code points but surrogates."""
+    return "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+
+
+def _as_set(points: list[int]) -> str:
+    """Code points as a set in brackets of escaped ranges; empty without any."""
+    ranges: list[list[int]] = []
+    for point in sorted(points):
+        if ranges and point == ranges[-1][1] + 1:
+            ranges[-1][1] = point
+        else:
+            ranges.append([point, point])
+    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]" if ranges else ""
+
+
+def departures(members: Callable[[str], str]) -> Departures:
+    """Where a library, asked for the text of all matches of a class, differs from our own pattern."""
+    found = []
+    for name in CLASSES:
+        own, theirs = set(regex.findall(name, every_character())), set(members(name))
+        if own != theirs:
+            found.append((name, _as_set([ord(x) for x in own - theirs]), _as_set([ord(x) for x in theirs - own])))
+    return tuple(found)
+
+
+@functools.cache
+def tiktoken_departures() -> Departures:
+    """The classes as tiktoken has them: it encodes the matches of a pattern and nothing else."""
+    import tiktoken
+
+    def members(name: str) -> str:
+        coder = tiktoken.Encoding("class", pat_str=name, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+        return coder.decode_bytes(coder.encode_ordinary(every_character())).decode()
+
+    return departures(members)
+
+
+class Splitter:
+    """Matches of the split pattern, with a library's classes.
+
+    Texts without a character that the classes disagree on, nearly all, take the plain pattern.
+    """
+
+    def __init__(self, pattern: str, departs: Departures = ()):
+        self.plain = regex.compile(pattern).findall
+        odd = "".join(minus[1:-1] + plus[1:-1] for _, minus, plus in departs)
+        self.odd = re.compile(f"[{odd}]").search if odd else None
+        for name, minus, plus in departs:
+            kept_ = f"[{name}--{minus}]" if minus else name
+            pattern = pattern.replace(name, f"[{kept_}||{plus}]" if plus else kept_)
+        self.exact = regex.compile("(?V1)" + pattern).findall if odd else self.plain
+
+    def find(self, text: str) -> list[str]:
+        if self.odd is None or text.isascii() or self.odd(text) is None:
+            return self.plain(text)
+        return self.exact(text)
+
+
 def load_ranks(path: str) -> bytes:
     """The bytes of a rank file (base64 token and rank on each line)."""
     with open(path, "rb") as file:
@@ -182,10 +250,10 @@ class Stretches:
 class Encoder:
     """Texts to ids and back, as the rank file and the split pattern say."""
 
-    def __init__(self, rank_data: bytes, pattern: str):
+    def __init__(self, rank_data: bytes, pattern: str, departs: Departures = ()):
         ranks = parse_ranks(rank_data)
         self.merger = Merger(ranks)
-        self.find = regex.compile(pattern).findall
+        self.find = Splitter(pattern, departs).find
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.pieces = Pieces(self._merged)
         self.stretches = Stretches(self._packed)
@@ -205,10 +273,10 @@ class Encoder:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def encoder(rank_data: bytes, pattern: str) -> Encoder:
+def encoder(rank_data: bytes, pattern: str, departs: Departures = ()) -> Encoder:
     """One encoder for each vocabulary in a worker, so that later tasks find its memory filled."""
-    name = hashlib.sha256(rank_data).hexdigest(), pattern
-    return kept("bpe", name, lambda: Encoder(rank_data, pattern))
+    name = hashlib.sha256(rank_data).hexdigest(), pattern, departs
+    return kept("bpe", name, lambda: Encoder(rank_data, pattern, departs))
 
 
 def encode_documents(
@@ -216,16 +284,18 @@ def encode_documents(
 ) -> DataFrame:
     """``doc_id``, ``ids`` (little-endian unsigned 32-bit) and ``decoded`` (bytes) of every whole text.
 
-    The rank file is read on the driver and broadcast (1 MB for 50,000 ranks). A null text counts as
+    The rank file is read on the driver and broadcast (1 MB for 50,000 ranks), with the characters whose
+    class tiktoken sees in another way than our split pattern. A null text counts as
     the empty one and has no ids; null ids, repeated rows and empty tables pass through; other
     columns are not read. One narrow pass: no shuffle.
     """
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(load_ranks(rank_path))
+    departs = tiktoken_departures()
     kind = dict(docs.dtypes)[key]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(ranks.value, pattern)
+        coder = encoder(ranks.value, pattern, departs)
         for batch in batches:
             for part in slices(batch, 1):
                 ids = [coder.encode(x or "") for x in part.column(1).to_pylist()]

@@ -7,6 +7,7 @@ turn it into its own id, it is proven to encode alone as one token. In the job s
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 from collections.abc import Iterator
@@ -17,10 +18,22 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fixturelab.llm.bpe import Pieces, Stretches
+from fixturelab.llm.bpe import Departures, Pieces, Splitter, Stretches, departures, every_character
 from fixturelab.llm.common import kept, map_arrow, n_bytes, slices
 
 
+@functools.cache
+def tokenizers_departures() -> Departures:
+    """The classes of the split pattern as tokenizers has them, asked by its own splitter."""
+    from tokenizers import Regex, pre_tokenizers
+
+    def members(name: str) -> str:
+        splitter = pre_tokenizers.Split(Regex(name), "removed", invert=True)
+        return "".join(piece for piece, _ in splitter.pre_tokenize_str(every_character()))
+
+    return departures(members)
+
+
 def byte_letters() -> list[str]:
     """The letter that byte-level vocabularies write for each byte: printable Latin-1 stands for
     itself, the other bytes follow from code point 256 on, in order."""
@@ -68,7 +81,7 @@ class PairMerger:
 class Counter:
     """Counts tokens of texts under a byte-level BPE description (a tokenizer's JSON)."""
 
-    def __init__(self, description: str, pattern: str, whole: frozenset[str] | None = None):
+    def __init__(self, description: str, pattern: str, whole: frozenset[str] | None = None, departs: Departures = ()):
         data = json.loads(description)
         model, splitter = data["model"], data["pre_tokenizer"]
         plain = (
@@ -81,7 +94,7 @@ class Counter:
         if not plain:
             raise ValueError("only byte-level BPE without normalisation or added space is supported")
         self.merger = PairMerger(model["vocab"], model["merges"])
-        self.find = regex.compile(pattern).findall
+        self.find = Splitter(pattern, departs).find
         added = [x for x in data.get("added_tokens") or []]
         if any(x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"] for x in added):
             raise ValueError("added tokens that reach beyond their own string are not supported")
@@ -122,10 +135,10 @@ class Counter:
         return len(parts) - 1 + sum(sum(self.stretches.values(x)) for x in parts)
 
 
-def counter(description: str, pattern: str, whole: frozenset[str] | None = None) -> Counter:
+def counter(description: str, pattern: str, whole: frozenset[str] | None = None, departs: Departures = ()) -> Counter:
     """One counter for each vocabulary in a process."""
-    name = hashlib.sha256(description.encode()).hexdigest(), pattern
-    return kept("token counts", name, lambda: Counter(description, pattern, whole))
+    name = hashlib.sha256(description.encode()).hexdigest(), pattern, departs
+    return kept("token counts", name, lambda: Counter(description, pattern, whole, departs))
 
 
 def count_tokens(
@@ -133,18 +146,20 @@ def count_tokens(
 ) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_tokens`` and ``over_limit`` of every whole text.
 
-    The description and the proven strings are broadcast (a vocabulary is bounded). A null text is
+    The description and the proven strings are broadcast (a vocabulary is bounded), with the characters
+    whose class tokenizers sees in another way than our split pattern. A null text is
     empty and has no tokens; null ids, repeated rows and empty tables pass through; other columns
     are not read. One narrow pass: no shuffle.
     """
     with open(tokenizer_path, encoding="utf-8") as file:
         description = file.read()
-    proven = counter(description, pattern).whole
+    departs = tokenizers_departures()
+    proven = counter(description, pattern, None, departs).whole
     shared = docs.sparkSession.sparkContext.broadcast((description, proven))
     kind = dict(docs.dtypes)[key]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = counter(shared.value[0], pattern, shared.value[1])
+        own = counter(shared.value[0], pattern, shared.value[1], departs)
         for batch in batches:
             for part in slices(batch, 1):
                 tokens = [own.count(x or "") for x in part.column(1).to_pylist()]
