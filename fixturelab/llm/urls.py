@@ -10,14 +10,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
-from fixturelab.llm.common import kept, map_arrow
+from fixturelab.llm.common import kept, map_arrow, slices
 
 #: (verdict, host, path): a rule fits its host and all subdomains if the path starts with its path.
 Rule = tuple[str, str, str]
@@ -26,7 +26,8 @@ Rule = tuple[str, str, str]
 @dataclass(frozen=True)
 class Settings:
     """``order``: longest context; ``buckets``: hashed contexts of each order and class (this bounds
-    the models); ``holdout``: one URL in so many calibrates; ``bins``: grid of the bar."""
+    the models); ``holdout``: one URL in so many calibrates; ``bins``: grid of the bar; ``chunk``: bytes
+    looked at together, which bounds the memory of a task whatever the length of a URL."""
 
     order: int = 4
     buckets: int = 1 << 18
@@ -34,6 +35,7 @@ class Settings:
     holdout: int = 5
     bins: int = 2001
     span: float = 4.0
+    chunk: int = 1 << 17
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -63,14 +65,54 @@ def _mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
-def contexts(urls: list[str], settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Owners of all bytes (an end mark follows each URL), and for each order the bucket of the
-    context and of the context with the byte."""
-    raw = [x.encode() + b"\x00" for x in urls]
-    flat = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
-    sizes = np.array([len(x) for x in raw], np.int64)
-    owner = np.repeat(np.arange(len(raw)), sizes)
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+@dataclass
+class Chunk:
+    """Bytes of some URLs in a row: ``owner`` and length of each part, how many of its first bytes only
+    give context to the rest, and the place of its first byte in the URL."""
+
+    flat: bytes
+    owners: list[int]
+    sizes: list[int]
+    leads: list[int]
+    starts: list[int]
+
+
+def chunks(urls: list[str], settings: Settings) -> Iterator[Chunk]:
+    """The bytes of all URLs, an end mark after each, in chunks of about ``settings.chunk`` bytes.
+
+    A URL may go through several chunks; each part but the first repeats the bytes its contexts need.
+    """
+    parts: list[tuple[bytes, int, int, int]] = []
+    held = 0
+    for owner, url in enumerate(urls):
+        raw = url.encode() + b"\x00"
+        at = 0
+        while at < len(raw):
+            if held >= settings.chunk:
+                yield _chunk(parts)
+                parts, held = [], 0
+            end = min(len(raw), at + settings.chunk - held)
+            lead = min(at, settings.order)
+            parts.append((raw[at - lead : end], owner, lead, at - lead))
+            held += end - at
+            at = end
+    if parts:
+        yield _chunk(parts)
+
+
+def _chunk(parts: list[tuple[bytes, int, int, int]]) -> Chunk:
+    raws, owners, leads, starts = map(list, zip(*parts))
+    return Chunk(b"".join(raws), owners, [len(x) for x in raws], leads, starts)
+
+
+def chunk_contexts(chunk: Chunk, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owners of the chunk's bytes, and for each order the bucket of the context and of the context
+    with the byte."""
+    flat = np.frombuffer(chunk.flat, np.uint8).astype(np.uint64)
+    sizes = np.array(chunk.sizes, np.int64)
+    inside = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    own = inside >= np.repeat(chunk.leads, sizes)
+    place = inside + np.repeat(chunk.starts, sizes)
     context = np.zeros(len(flat), np.uint64)
     before, joint = [], []
     for order in range(settings.order + 1):
@@ -80,9 +122,17 @@ def contexts(urls: list[str], settings: Settings) -> tuple[np.ndarray, np.ndarra
             earlier[place < order] = 256  # before the begin
             context = _mix(context * np.uint64(0x9E3779B97F4A7C15) + earlier + np.uint64(1))
         seed = _mix(context + np.uint64((order + 1) * 0x632BE59BD9B4E019 % (1 << 64)))
-        before.append((seed % np.uint64(settings.buckets)).astype(np.int64))
-        joint.append((_mix(seed + flat + np.uint64(7)) % np.uint64(settings.buckets)).astype(np.int64))
-    return owner, np.array(before), np.array(joint)
+        before.append((seed % np.uint64(settings.buckets)).astype(np.int64)[own])
+        joint.append((_mix(seed + flat + np.uint64(7)) % np.uint64(settings.buckets)).astype(np.int64)[own])
+    return np.repeat(chunk.owners, sizes)[own], np.array(before), np.array(joint)
+
+
+def contexts(urls: list[str], settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of a few short URLs at once."""
+    whole = Chunk(b"", [], [], [], [])
+    for chunk in chunks(urls, replace(settings, chunk=1 << 62)):
+        whole = chunk
+    return chunk_contexts(whole, settings)
 
 
 class Model:
@@ -112,25 +162,28 @@ def count_contexts(urls: DataFrame, settings: Settings) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            accepted = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            owner, before, joint = contexts(batch.column(0).to_pylist(), settings)
-            groups = []
-            for order in range(settings.order + 1):
-                side = accepted[owner]
-                code = (side * settings.buckets + before[order]) * settings.buckets + joint[order]
-                values, n = np.unique(code, return_counts=True)
-                groups.append((np.full(len(values), order), values, n))
-            orders, codes, n = (np.concatenate(x) for x in zip(*groups))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(codes // settings.buckets // settings.buckets == 1),
-                    pa.array(orders.astype(np.int32)),
-                    pa.array(codes // settings.buckets % settings.buckets),
-                    pa.array(codes % settings.buckets),
-                    pa.array(n.astype(np.int64)),
-                ],
-                names=["accepted", "order", "before", "joint", "n"],
-            )
+            for part in slices(batch, 0):
+                accepted = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+                for chunk in chunks([x or "" for x in part.column(0).to_pylist()], settings):
+                    yield summed(accepted, *chunk_contexts(chunk, settings))
+
+    def summed(accepted: np.ndarray, owner: np.ndarray, before: np.ndarray, joint: np.ndarray) -> pa.RecordBatch:
+        groups = []
+        for order in range(settings.order + 1):
+            code = (accepted[owner] * settings.buckets + before[order]) * settings.buckets + joint[order]
+            values, n = np.unique(code, return_counts=True)
+            groups.append((np.full(len(values), order), values, n))
+        orders, codes, n = (np.concatenate(x) for x in zip(*groups))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(codes // settings.buckets // settings.buckets == 1),
+                pa.array(orders.astype(np.int32)),
+                pa.array(codes // settings.buckets % settings.buckets),
+                pa.array(codes % settings.buckets),
+                pa.array(n.astype(np.int64)),
+            ],
+            names=["accepted", "order", "before", "joint", "n"],
+        )
 
     pairs = map_arrow(urls, count, "accepted boolean, order int, before long, joint long, n long")
     return pairs.groupBy("accepted", "order", "before", "joint").agg(F.sum("n").alias("n"))
@@ -181,11 +234,15 @@ def score_urls(rows: DataFrame, models: dict[bool, Model], settings: Settings, u
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = kept("urls", name, unpack)
         for batch in batches:
-            owner, before, joint = contexts([x or "" for x in batch.column(at).to_pylist()], settings)
-            gain = own[True].log_likelihood(before, joint) - own[False].log_likelihood(before, joint)
-            sizes = np.bincount(owner, minlength=batch.num_rows)
-            ratio = np.bincount(owner, weights=gain, minlength=batch.num_rows) / np.maximum(sizes, 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ratio, pa.float64())], names=[*names, "log_ratio"])
+            for part in slices(batch, at):
+                gain, size = np.zeros(part.num_rows), np.zeros(part.num_rows)
+                for chunk in chunks([x or "" for x in part.column(at).to_pylist()], settings):
+                    owner, before, joint = chunk_contexts(chunk, settings)
+                    each = own[True].log_likelihood(before, joint) - own[False].log_likelihood(before, joint)
+                    gain += np.bincount(owner, weights=each, minlength=part.num_rows)
+                    size += np.bincount(owner, minlength=part.num_rows)
+                ratio = pa.array(gain / np.maximum(size, 1), pa.float64())
+                yield pa.RecordBatch.from_arrays([*part.columns, ratio], names=[*names, "log_ratio"])
 
     fields = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
     return map_arrow(rows, score, f"{fields}, log_ratio double")
@@ -214,7 +271,7 @@ def judge_urls(
     """``page_id``, ``host``, ``path``, ``rule``, ``verdict``, ``log_ratio`` and ``bar`` of every URL.
 
     A null URL, or one without ``://``, has an empty host and path, fits no rule and is judged by the
-    models. If a class has no URL, the bar is 0. Null ids, repeated rows and empty tables pass through;
+    models. A URL of any length is judged whole, chunk by chunk. If a class has no URL, the bar is 0. Null ids, repeated rows and empty tables pass through;
     other columns are not read.
     """
     host, path = split_url(F.col("url"))
