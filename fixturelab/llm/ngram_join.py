@@ -358,21 +358,32 @@ def with_class(rows: DataFrame, n: int) -> DataFrame:
     return map_arrow(rows, classify, "cls binary, grams array<long>")
 
 
-def keep_first_of_group(docs: DataFrame, threshold: float = 0.8, n: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_first_of_group(
+    docs: DataFrame,
+    threshold: float = 0.8,
+    n: int = 5,
+    key: str = "doc_id",
+    text: str = "text",
+    keep_null_ids: bool = True,
+) -> DataFrame:
     """One row of each class of near copies, whatever ids its rows have; all columns pass through.
 
     Rows are judged one by one. Of a class stays a row of the smallest id; of several texts of that id
-    the one with the smallest hash, of equal rows any one. Rows with a null id or without words stay.
+    the one with the smallest hash, of equal rows any one. Rows without words stay. Rows with a null id
+    stay too if ``keep_null_ids`` is set; else they come after all other ids and are copies like them.
     """
     row = fresh(docs, "_row")
     # numbers that a second reading can't change
     marked = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     judged = jaccard_join(marked, threshold, n, key=row, text=text).select(F.col("doc_id").alias("row"), "class_id")
     named = marked.select(F.col(row).alias("row"), F.col(key).alias("id"), F.md5(F.col(text)).alias("digest"))
+    rivals = named.where("id is not null") if keep_null_ids else named
     firsts = (
-        judged.join(named.where("id is not null"), "row")
+        judged.join(rivals, "row")
         .groupBy("class_id")
-        .agg(F.min(F.struct("id", "digest", "row")).alias("first"))
+        .agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "digest", "row")).alias("first"))
     )
-    stay = firsts.select(F.col("first.row").alias(row)).unionAll(named.where("id is null").select(F.col("row").alias(row)))
+    stay = firsts.select(F.col("first.row").alias(row))
+    if keep_null_ids:
+        stay = stay.unionAll(named.where("id is null").select(F.col("row").alias(row)))
     return marked.join(stay, row, "left_semi").drop(row)

@@ -13,7 +13,7 @@ import tiktoken
 from test_operators import awkward_rows, plain_distance, plain_join, words
 
 import corpus_pipeline
-from fixturelab.llm import bpe, decontaminate
+from fixturelab.llm import bpe, decontaminate, ngram_join
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -107,3 +107,15 @@ def test_awkward_documents(spark, tables, empty):
             assert result.columns == docs.columns
         docs = spark.createDataFrame(result.collect(), result.schema)
     assert (docs.count() == 0) == empty
+
+
+def test_copies_without_an_id_fall_to_one_row(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    other = " ".join(f"other{i}" for i in range(60))
+    rows = [(None, text)] * 5 + [(4, other), (None, other), (None, other + " end"), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, class_id int")
+    out = ngram_join.keep_first_of_group(docs, keep_null_ids=False)
+    assert out.columns == docs.columns
+    left = sorted((r["doc_id"] is None, r["text"] or "") for r in out.collect())
+    assert left == sorted([(True, text), (False, other), (True, ""), (True, "")])
+    assert ngram_join.keep_first_of_group(docs).where("doc_id is null").count() == 9
