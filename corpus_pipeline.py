@@ -39,8 +39,8 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest id."""
-    return ngram_join.keep_first_of_group(docs)
+    """One document of each group of near copies: that with the smallest id, one without an id last."""
+    return ngram_join.keep_first_of_group(docs, keep_null_ids=False)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
