@@ -747,20 +747,27 @@ def slip_builder(spark, sf):
 
 # ---------------------------------------------------------------- rating and learned models
 
+#: Matches of a league between two refits of the pooled model.
+REFIT_EVERY = 10
+
+
+def pooled_params(spark, sf) -> DataFrame:
+    """Refits for the matches of the last three seasons."""
+    config = {"sf": sf, "every": REFIT_EVERY, "seasons": 3, "shrinkage": R.SHRINKAGE}
+    return stored(spark, "pooled", config, lambda: R.pooled_refits(matches(spark, sf), REFIT_EVERY, test_seasons(spark, sf)))
+
+
 @query
 def pooled_strengths(spark, sf):
-    """M2: partially pooled attack, defence and home advantage, refitted before each season."""
-    m = matches(spark, sf)
-    pairs = R.pair_totals_at(m, F.col("season") + 1, last_season(spark, sf))
-    return out(R.pooled_strengths(pairs, ["league", "cutoff"]), 4)
+    """M2: partially pooled attack, defence and home advantage, refitted every ten matches."""
+    return out(pooled_params(spark, sf), 4)
 
 
 @query
 def pooled_model_backtest(spark, sf):
     """M2 in the blend: pooled expected goals in place of history and form."""
-    m = matches(spark, sf)
-    params = stored(spark, "pooled", {"sf": sf}, lambda: R.pooled_strengths(R.pair_totals_at(m, F.col("season") + 1, last_season(spark, sf)), ["league", "cutoff"]))
-    c = comps(spark, sf, FULL).where(test_seasons(spark, sf)).withColumn("cutoff", F.col("season").cast("long"))
+    params = pooled_params(spark, sf)
+    c = comps(spark, sf, FULL).where(test_seasons(spark, sf)).withColumn("cutoff", R.refit_of(F.col("match_seq"), REFIT_EVERY))
     g = R.pooled_goals(c, params, ["league", "cutoff"])
     known = F.col("xh_pooled").isNotNull() & F.col("xa_pooled").isNotNull()
     pooled = g.withColumns({f"x{s}_{k}": F.when(known, F.col(f"x{s}_pooled")).otherwise(F.col(f"x{s}_{k}")) for s in "ha" for k in ("hist", "form")})
