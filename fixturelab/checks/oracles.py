@@ -210,12 +210,12 @@ add("match_analysis", CONTESTS + shin("so", "contests", ["o1", "ox", "o2"]),
  from (select *, case when round(p0, 12) >= round(p1, 12) and round(p0, 12) >= round(p2, 12) then '1' when round(p1, 12) >= round(p2, 12) then 'X' else '2' end as pick from contests join so using (o1, ox, o2))""")
 
 # ------------------------------------------------------------------ decay and state
-_h = {"730": "pow(0.5, datediff('day', d, date '2001-06-30') / 730.0)"}
-_decay = lambda h: f"(case when d > date '2001-06-30' then 1.0 else pow(0.5, datediff('day', d, date '2001-06-30') / {h}) end)"
+_h = {"730": "pow(0.5, datediff('day', d, (select max(d) - 127 from contests)) / 730.0)"}
+_decay = lambda h: f"(case when d > (select max(d) - 127 from contests) then 1.0 else pow(0.5, datediff('day', d, (select max(d) - 127 from contests)) / {h}) end)"
 add("decayed_means", CONTESTS, " union all ".join(
     f"select league, home, {r(e, 'mean')}, '{n}' as half_life from contests group by league, home"
     for n, e in (("730", f"sum(gh * {_decay('730.0')}) / sum({_decay('730.0')})"), ("90", f"sum(gh * {_decay('90.0')}) / sum({_decay('90.0')})"), ("none", "avg(gh)"))))
-_w = "pow(0.5, greatest(datediff('day', d, date '2001-11-04'), 0) / 730.0)"
+_w = "pow(0.5, greatest(datediff('day', d, (select max(d) from contests)), 0) / 730.0)"
 add("league_means_fixed", CONTESTS, f"select league, {r(f'sum(gh * {_w}) / sum({_w})', 'mean_home')}, {r(f'sum(ga * {_w}) / sum({_w})', 'mean_away')}, {r('avg(gh)', 'plain_home')}, {r('avg(ga)', 'plain_away')}, {r('avg(gh) / avg(ga)', 'home_advantage')} from contests group by league")
 add("team_strengths", CONTESTS + APP, "select league, team, " + ", ".join(
     r(f"coalesce(sum({g} * {_w}) filter (where venue = '{v}') / sum({_w}) filter (where venue = '{v}'), 0)", n)
@@ -283,7 +283,7 @@ _mk_open = ["mk0 as (select league, match_seq, o1, ox, o2, oover, ounder from co
 _full_plain = lambda market: state(None) + PLAIN + ["sta_p as (select sta.*, plain_home, plain_away from sta join pl using (league, season))"] + [
     c.replace("sta.*", "sta_p.*").replace("from sta ", "from sta_p ") for c in xg("plain_home", "plain_away", SEEN, market)]
 add("match_components_full", _full_plain(_mk_open), f"select {_comp} from comps")
-add("score_outcomes", E1 + ["""cl as (select league, season, match_seq, xh_hist as l, xa_hist as m, least(greatest(-0.3, greatest(-1 / xh_hist, -1 / xa_hist)), least(1 / (xh_hist * xa_hist), 1.0)) as rho from comps where xh_hist > 0 and xa_hist > 0)""",
+add("score_outcomes", E1 + ["""cl as (select league, season, match_seq, xh_hist as l, xa_hist as m, case when xh_hist > 0 and xa_hist > 0 then least(greatest(-0.3, greatest(-1 / xh_hist, -1 / xa_hist)), least(1 / (xh_hist * xa_hist), 1.0)) else -0.3 end as rho from comps)""",
     """ce as (select league, season, match_seq, i, j, exp(-l) * pow(l, i) / factorial(cast(i as int)) * exp(-m) * pow(m, j) / factorial(cast(j as int)) *
  case when i = 0 and j = 0 then 1 - l * m * rho when i = 0 and j = 1 then 1 + l * rho when i = 1 and j = 0 then 1 + m * rho when i = 1 and j = 1 then 1 - rho else 1 end as p from cl, (select unnest(range(11)) as i) a, (select unnest(range(11)) as j) b)"""],
     "select league, season, match_seq, " + ", ".join(r(f"coalesce(sum(p) filter (where {c}), 0) / sum(p)", n) for c, n in (("i > j", "p1"), ("i = j", "px"), ("i < j", "p2"), ("i + j > 1", "over15"), ("i + j > 2", "over25"), ("i + j <= 2", "under25"))) + " from ce group by all")
@@ -456,7 +456,7 @@ add("top_scores", E1 + ["ts0 as (select league, match_seq, cast(greatest(round(x
     "ts3 as (select league, match_seq, l, m, rho, total, h.i as i, h.x as x, unnest(gs) as g from ts2)",
     """ts4 as (select league, match_seq, i, g.j as j, x * g.y * (case when i = 0 and g.j = 0 then 1 - l * m * rho when i = 0 and g.j = 1 then 1 + l * rho when i = 1 and g.j = 0 then 1 + m * rho when i = 1 and g.j = 1 then 1 - rho else 1.0 end) / total as p from ts3)""",
     "ts5 as (select *, row_number() over (partition by league, match_seq order by round(p, 12) desc, i, j) - 1 as place from ts4 qualify place < 5)"],
-    f"select cast(place as int) as place, i || '-' || j as score, count(*) as n, {r('avg(p)', 'p')} from ts5 where p > 0 group by place, i, j")
+    f"select cast(place as int) as place, i || '-' || j as score, count(*) as n, {r('avg(p)', 'p')} from ts5 group by place, i, j")
 add("meeting_prices", CONTESTS + ["""mp0 as (select *, coalesce(list({'home': home, 'h': coalesce(c1, o1), 'd': coalesce(cx, ox), 'a': coalesce(c2, o2)}) over (partition by league, least(home, away), greatest(home, away) order by match_seq rows between 10 preceding and 1 preceding), []) as met0 from contests)""",
     "mp1 as (select *, case when len(list_filter(met0, lambda x: x.home = home)) > 0 then list_filter(met0, lambda x: x.home = home) else met0 end as used from mp0)",
     "mp2 as materialized (select *, len(used) as k, " + ", ".join(f"case when len(used) > 0 then len(used) / list_sum(list_transform(used, lambda x: 1.0 / {v})) end as {n}" for n, v in (

@@ -65,6 +65,11 @@ def last_season(spark: SparkSession, sf: str) -> int:
     return -1 if row[0] is None else int(row[0])
 
 
+def last_day(spark: SparkSession, sf: str) -> Column:
+    """The date of the last match."""
+    return F.lit(matches(spark, sf).agg(F.max("d")).first()[0]).cast("date")
+
+
 def test_seasons(spark: SparkSession, sf: str) -> Column:
     """The last three seasons."""
     return F.col("season") >= last_season(spark, sf) - 2
@@ -95,7 +100,7 @@ def market_by_league_season(spark, sf):
     """Proportional market probabilities scored by league and season."""
     m = matches(spark, sf).withColumn("actual", S.outcome("gh", "ga"))
     m = O.market_probabilities(m, K.OPENING, ["p1", "px", "p2"], "proportional")
-    return out(M.metrics_rollup(M.scored(m, "first"), ["league", "season"]).na.fill({"league": -1, "season": -1}))
+    return out(M.metrics_rollup(M.scored(m, "first"), ["league", "season"]))
 
 
 @query
@@ -224,8 +229,10 @@ def over_under_analysis(spark, sf):
     """totals pick from the market and blended with a model probability."""
     m = matches(spark, sf).select(*KEY, *K.TOTALS, ((F.col("match_seq") % 10).cast("double") / 10.0).alias("model"))
     a = O.analyse_over_under(m, "oover", "ounder")
-    b = O.analyse_over_under(m, "oover", "ounder", "model", 0.5).select(*KEY, F.col("ou_pick").alias("blend_pick"), F.col("ou_confidence").alias("blend_confidence"))
-    return out(a.join(b, KEY).drop("oover", "ounder", "model", "ou_valid"))
+    found = [c for c in a.columns if c not in m.columns]
+    a = a.withColumnsRenamed({c: f"_own_{c}" for c in found})
+    b = O.analyse_over_under(a, "oover", "ounder", "model", 0.5).withColumnsRenamed({"ou_pick": "blend_pick", "ou_confidence": "blend_confidence"})
+    return out(b.select(*KEY, *[F.col(f"_own_{c}").alias(c) for c in found if c != "ou_valid"], "blend_pick", "blend_confidence"))
 
 
 @query
@@ -238,9 +245,9 @@ def meeting_prices(spark, sf):
 
 @query
 def decayed_means(spark, sf):
-    """A1 A2: goals per home team and half-life, decayed towards a fixed day."""
+    """A1 A2: goals per home team and half-life, decayed towards a day 127 days before the last match."""
     m = matches(spark, sf)
-    ref = F.lit("2001-06-30").cast("date")
+    ref = F.date_sub(last_day(spark, sf), 127)
     parts = [D.decayed_group_mean(m, ["league", "home"], "gh", "d", ref, h, "mean").withColumn("half_life", F.lit(n))
              for h, n in ((730.0, "730"), (90.0, "90"), (None, "none"))]
     return out(parts[0].unionByName(parts[1]).unionByName(parts[2]))
@@ -250,7 +257,7 @@ def decayed_means(spark, sf):
 def league_means_fixed(spark, sf):
     """A3 A5: decayed and plain league means at the last date."""
     m = matches(spark, sf)
-    last = F.lit("2001-11-04").cast("date")
+    last = last_day(spark, sf)
     a = D.league_means(m, last, 730.0)
     b = m.groupBy("league").agg(F.avg("gh").alias("plain_home"), F.avg("ga").alias("plain_away"), (F.avg("gh") / F.avg("ga")).alias("home_advantage"))
     return out(a.join(b, "league"))
@@ -259,7 +266,7 @@ def league_means_fixed(spark, sf):
 @query
 def team_strengths(spark, sf):
     """Decayed attack and defence of every team at home and away."""
-    return out(D.team_strengths(state.appearances(matches(spark, sf)), F.lit("2001-11-04").cast("date"), 730.0))
+    return out(D.team_strengths(state.appearances(matches(spark, sf)), last_day(spark, sf), 730.0))
 
 
 @query
@@ -391,7 +398,7 @@ def match_components_full(spark, sf):
 @query
 def score_outcomes(spark, sf):
     """Outcome and over/under probabilities of the corrected score grid."""
-    c = comps(spark, sf).select(*KEY, "xh_hist", "xa_hist").where((F.col("xh_hist") > 0) & (F.col("xa_hist") > 0))
+    c = comps(spark, sf).select(*KEY, "xh_hist", "xa_hist")
     return out(S.score_outcomes(c, "xh_hist", "xa_hist", -0.30).drop("xh_hist", "xa_hist"))
 
 
@@ -400,7 +407,7 @@ def top_scores(spark, sf):
     """The five likeliest exact scores."""
     c = comps(spark, sf).select(*KEY, *[F.greatest(F.round(F.col(x) + F.lit(1e-9), 3), F.lit(0.05)).alias(n) for x, n in (("xh_hist", "l"), ("xa_hist", "m"))])
     t = S.top_scores(c, "l", "m", -0.10).select(*KEY, F.posexplode("top_scores").alias("place", "_s"))
-    return out(t.select(*KEY, "place", F.col("_s.score").alias("score"), F.col("_s.p").alias("p")).where(F.col("p") > 0).groupBy("place", "score").agg(
+    return out(t.select(*KEY, "place", F.col("_s.score").alias("score"), F.col("_s.p").alias("p")).groupBy("place", "score").agg(
         F.count(F.lit(1)).alias("n"), F.avg("p").alias("p")))
 
 
@@ -408,9 +415,10 @@ def top_scores(spark, sf):
 def blended_probabilities(spark, sf):
     """production blend and an overfull weight set on every match."""
     c = comps(spark, sf)
-    a = B.blend_1x2(c, 0.10, 0.0, 0.90).select(*KEY, "p1", "px", "p2", "xh", "xa")
-    b = B.blend_1x2(c, 0.50, 0.40, 0.60, rho=-0.2).select(*KEY, F.col("p1").alias("b1"), F.col("px").alias("bx"), F.col("p2").alias("b2"))
-    return out(a.join(b, KEY))
+    a = B.blend_1x2(c, 0.10, 0.0, 0.90).withColumnsRenamed({n: f"_a_{n}" for n in ("p1", "px", "p2", "xh", "xa")})
+    b = B.blend_1x2(a, 0.50, 0.40, 0.60, rho=-0.2)
+    return out(b.select(*KEY, *[F.col(f"_a_{n}").alias(n) for n in ("p1", "px", "p2", "xh", "xa")],
+                        *[F.col(n).alias(f"b{n[1]}") for n in ("p1", "px", "p2")]))
 
 
 @query
@@ -438,7 +446,7 @@ def production(c: DataFrame) -> DataFrame:
 def backtest_metrics(spark, sf):
     """Backtest by season and in total."""
     s = M.scored(production(comps(spark, sf)))
-    return out(M.metrics_rollup(s, ["season"]).na.fill({"season": -1}))
+    return out(M.metrics_rollup(s, ["season"]))
 
 
 @query
@@ -468,25 +476,24 @@ def confidence_calibration(spark, sf):
 
 # ---------------------------------------------------------------- configurations
 
-# Name, form, meetings, odds, rating weight.
+# Weights of form, meetings, odds and ratings.
 CONFIGS = [
-    ("history", 0.0, 0.0, 0.0, 0.0), ("history+form", 0.5, 0.0, 0.0, 0.0), ("first default", 0.5, 0.15, 0.15, 0.0),
-    ("odds only", 0.0, 0.0, 1.0, 0.0), ("second default", 0.0, 0.15, 0.85, 0.0), ("old optimum", 0.10, 0.0, 0.90, 0.0),
-    ("current optimum", 0.0, 0.0, 1.0, 0.0), ("ratings only", 0.0, 0.0, 0.0, 1.0), ("optimum+ratings", 0.0, 0.0, 0.9, 0.1),
+    (0.0, 0.0, 0.0, 0.0), (0.5, 0.0, 0.0, 0.0), (0.5, 0.15, 0.15, 0.0), (0.0, 0.0, 1.0, 0.0), (0.0, 0.15, 0.85, 0.0),
+    (0.10, 0.0, 0.90, 0.0), (0.0, 0.0, 0.0, 1.0), (0.0, 0.0, 0.9, 0.1),
 ]
 
 
 @query
 def configuration_table(spark, sf):
-    """Nine weightings side by side, with ratings."""
+    """Eight weightings side by side, with ratings."""
     rated = rated_matches(spark, sf)
     train = rated.where(~test_seasons(spark, sf))
     r = R.rating_goals(rated, R.fit_rating_goals(train, "gh"), R.fit_rating_goals(train, "ga"))
     c = comps(spark, sf, FULL).where(test_seasons(spark, sf))
     c = c.join(r.select("league", "match_seq", "elo_valid", "xh_elo", "xa_elo"), ["league", "match_seq"])
-    c = G.with_configs(c, CONFIGS, ["config", "form", "meet", "odds", "elo"])
+    c = G.with_configs(c, CONFIGS, ["form", "meet", "odds", "elo"])
     s = M.scored(B.blend_1x2(c, "form", "meet", "odds", elo="elo"))
-    return out(s.groupBy("config").agg(F.count(F.lit(1)).alias("n"), M.rate(F.col("hit")).alias("accuracy"), F.avg("rps").alias("rps")), 4)
+    return out(s.groupBy("form", "meet", "odds", "elo").agg(F.count(F.lit(1)).alias("n"), M.rate(F.col("hit")).alias("accuracy"), F.avg("rps").alias("rps")), 4)
 
 
 def _macro(spark, sf, variants: dict[str, FeatureConfig], blends: dict[str, tuple[float, float, float]]) -> DataFrame:
@@ -532,11 +539,15 @@ def blend_weight_grid(spark, sf):
 
 # ---------------------------------------------------------------- comparisons
 
+def _sides(a: tuple, b: tuple) -> list[Column]:
+    """Two triples of one row as forecasts a and b."""
+    return [F.col(c).alias(f"{n}_{side}") for side, triple in (("a", a), ("b", b)) for c, n in zip(triple, ("p1", "px", "p2"))]
+
+
 def _model_vs_market(spark, sf) -> DataFrame:
     c = comps(spark, sf).where(F.col("has_odds"))
-    model = production(c).select(*KEY, "actual", "p1", "px", "p2")
-    market = c.select(*KEY, "actual", F.col("q1").alias("p1"), F.col("qx").alias("px"), F.col("q2").alias("p2"))
-    return C.pair_1x2(C.paired(model, market, KEY))
+    # both forecasts come from the same row
+    return C.pair_1x2(production(c).select(*KEY, "actual", *_sides(("p1", "px", "p2"), ("q1", "qx", "q2"))))
 
 
 def _cell() -> Column:
@@ -577,13 +588,13 @@ def configuration_differences(spark, sf):
     """Closing against opening, decayed against plain means, model against market."""
     first = test_seasons(spark, sf)
     f = lambda cfg, w=(0.10, 0.0, 0.90): B.blend_1x2(comps(spark, sf, cfg).where(first), *w).select(*KEY, "actual", "p1", "px", "p2")
-    base = f(FULL)
-    pairs = {"closing vs opening": f(replace(FULL, odds_source="opening")), "decayed vs plain means": f(PLAIN),
-             "model vs market": f(FULL, (0.0, 0.0, 1.0))}
-    parts = None
-    for name, other in pairs.items():
-        p = C.pair_1x2(C.paired(base, other, KEY)).withColumn("scope", F.lit(name)).select("scope", *KEY, "ok_a", "ok_b", "score_a", "score_b")
-        parts = p if parts is None else parts.unionByName(p)
+    named = {"base": f(FULL), "opening": f(replace(FULL, odds_source="opening")), "plain": f(PLAIN), "market": f(FULL, (0.0, 0.0, 1.0))}
+    rows = C.lined_up(named, KEY)
+    triple = lambda n: tuple(f"{p}_{n}" for p in ("p1", "px", "p2"))
+    scopes = {"closing vs opening": "opening", "decayed vs plain means": "plain", "model vs market": "market"}
+    pair = lambda label, other: F.struct(F.lit(label).alias("scope"), *_sides(triple("base"), triple(other)))
+    pairs = rows.select(*KEY, "actual", F.explode(F.array(*[pair(*x) for x in scopes.items()])).alias("_p")).select(*KEY, "actual", "_p.*")
+    parts = C.pair_1x2(pairs).select("scope", *KEY, "ok_a", "ok_b", "score_a", "score_b")
     return out(C.report(parts, ["scope"], _cell()))
 
 
@@ -831,10 +842,9 @@ def stacking(spark, sf):
     f = _feature_rows(spark, sf)
     p = L.stack(L.training_window(f, last_season(spark, sf)), f.where(F.col("season") == last_season(spark, sf)), trees=3)
     p = stored(spark, "stacked", {"sf": sf}, lambda: p)
-    triple = lambda a: p.select(*KEY, "actual", *[F.col(x).alias(y) for x, y in zip(a, ("p1", "px", "p2"))])
-    stat, base, meta = triple(["s1", "sx", "s2"]), triple(["g1", "gx", "g2"]), triple(["p1", "px", "p2"])
+    stat, base, meta = ("s1", "sx", "s2"), ("g1", "gx", "g2"), ("p1", "px", "p2")
     parts = None
     for name, a, b in (("stacking vs statistical", meta, stat), ("trees vs statistical", base, stat), ("stacking vs trees", meta, base)):
-        x = C.pair_1x2(C.paired(a, b, KEY)).select(F.lit(name).alias("scope"), *KEY, "ok_a", "ok_b", "score_a", "score_b")
+        x = C.pair_1x2(p.select(*KEY, "actual", *_sides(a, b))).select(F.lit(name).alias("scope"), *KEY, "ok_a", "ok_b", "score_a", "score_b")
         parts = x if parts is None else parts.unionByName(x)
     return out(C.report(parts, ["scope"], _cell()))

@@ -89,18 +89,6 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], block
     return df.drop(*[f"_{p}_{n}" for p in "vic" for n in names])
 
 
-def running_max(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], block: str, value: Column,
-                out: str) -> DataFrame:
-    """Maximum over all strictly earlier rows of the key; null where there are none."""
-    df = df.withColumn("_v", value)
-    cell = [*keys, block]
-    earlier = W.partitionBy(*keys).orderBy(block).rowsBetween(W.unboundedPreceding, -1)
-    carry = df.groupBy(*cell).agg(F.max("_v").alias("_t")).select(*cell, F.max("_t").over(earlier).alias("_c"))
-    inside = W.partitionBy(*cell).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    df = df.withColumn("_i", F.max("_v").over(inside)).join(carry, cell)
-    return df.withColumn(out, F.greatest("_i", "_c")).drop("_v", "_i", "_c")
-
-
 def recent_rows(df: DataFrame, keys: Sequence[str], order: str, block: str, n: int, payload: Column,
                 out: str, day: str | None = None) -> DataFrame:
     """``array`` of the payloads of the last ``n`` strictly earlier rows of the key, oldest first.

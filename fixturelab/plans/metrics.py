@@ -38,7 +38,10 @@ def metrics(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def metrics_rollup(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    return df.rollup(*by).agg(*metric_columns())
+    """Metrics by ``by`` and for each total above it; a total has -1 in the columns it sums over."""
+    total = [F.when(F.grouping(c) == 1, F.lit(-1)).otherwise(F.col(c)).alias(f"_of_{c}") for c in by]
+    names = [c for c in df.rollup(*by).agg(*metric_columns()).columns if c not in by]
+    return df.rollup(*by).agg(*metric_columns(), *total).select(*[F.col(f"_of_{c}").alias(c) for c in by], *names)
 
 
 def macro_mean(df: DataFrame, by: Sequence[str], over: str = "season") -> DataFrame:
