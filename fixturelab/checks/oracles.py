@@ -199,6 +199,18 @@ add("season_files", CONTESTS + [_lines], f"""select 'L' || league as league, cas
  {r('cast(sum(gh) as double)', 'home_goals')}, {r(f'sum({_avg})', 'sum_h')}, {r('sum(case when s = 2 and not short71 then c2 end)', 'sum_ca')}, cast(min(dd) as varchar) as first_date, cast(max(dd) as varchar) as last_date from ok group by 1, 2""")
 add("season_files_by_row", CONTESTS + [_lines], f"""select season, count(*) as matches, count(case when not short71 then o1 end) as n_odds, {r('sum(case when not short71 then o1 end)', 'sum_h')}, {r('cast(sum(ga) as double)', 'away_goals')} from ok where dd is not null group by season""")
 
+_codes = "['I1', 'E0', 'SP1', 'D1', 'F1'][cast(league as int) + 1]"
+add("season_folder", CONTESTS + [_lines], f"""select {_codes} as league, cast(season as varchar) as season, count(*) as matches, count(dd) as n_date, count({_avg}) as n_oddsavgh,
+ cast(sum(gh) as bigint) as home_goals, {r(f'sum({_avg})', 'sum_h')}, count(case when league = 1 and s = 2 then 1 end) as n_quote, count(case when not (league = 1 and s = 2) then 1 end) as n_accent,
+ cast(min(dd) as varchar) as first_date from ok group by 1, 2""")
+add("league_files", CONTESTS + [_lines], """select season, count(*) as matches, count(dd) as n_date, count(case when s <> 1 and not short71 then o1 end) as n_b365h, 0::bigint as n_psh,
+ count(case when short71 then null when s = 0 and match_seq % 5 = 0 then null else o1 end) as n_oddsavgh, count(case when s = 2 and not short71 then c1 end) as n_oddsavgch, count(case when s = 2 and not short71 then oover end) as n_oddsover25, 0::bigint as n_oddscover25
+ from ok where league = 1 and dd is not null group by season""")
+add("rejected_season_lines", CONTESTS + ["""rj as (select case when match_seq % 97 = 5 then 'too many fields' when match_seq % 89 = 3 or match_seq % 79 = 11 then 'no goals' end as reason from contests)""",
+    "nt as (select 'no team columns' as reason from contests where league = 0 and season = (select min(season) from contests))"],
+    "select reason, count(*) as n from (select reason from rj where reason is not null union all select reason from nt) group by reason")
+add("match_store", CONTESTS, f"select league, season, count(*) as matches, cast(sum(gh) as bigint) as home_goals, cast(sum(ga) as bigint) as away_goals, {r('sum(o1)', 'sum_o1')} from contests where season >= (select max(season) - 2 from contests) group by league, season")
+
 # ------------------------------------------------------------------ odds
 add("odds_cascade", CONTESTS, f"""select {KEY}, {rs('s1', 'sx', 's2', 'f1')}, source, {rs('oover', 'ounder')}, {r('1/s1 + 1/sx + 1/s2 - 1', 'margin')}, case when oover > 1 and ounder > 1 then 1 else 0 end as has_ou
  from (select *, coalesce(c1, o1) as f1, case when c1 is null then o1 else c1 end as s1, case when c1 is null then ox else cx end as sx, case when c1 is null then o2 else c2 end as s2, case when c1 is null then 'opening' else 'closing' end as source from contests)""")
@@ -255,6 +267,9 @@ RATE = ["""rt as (select team, 1500.0 + 100.0 * avg(gf - ga) as elo, cast(date_t
         "rat as (select team, elo, f0, case when early then cast(f0 + interval 45 day as date) else cast(f0 + interval 3 month - interval 1 day as date) end as t0 from rt)"]
 RATED = RATE + ["""rated as (select c.*, case when h.t0 >= c.d then h.elo end as elo_home, case when a.t0 >= c.d then a.elo end as elo_away from contests c
  asof left join rat h on h.team = c.home and h.f0 <= c.d asof left join rat a on a.team = c.away and a.f0 <= c.d)"""]
+add("rating_file", CONTESTS + APP + RATE, f"""select cast(team as varchar) as team, count(*) as n, {r('avg(elo)', 'elo')}, cast(min(f0) as varchar) as first_day, cast(max(t0) as varchar) as last_day from rat group by team""")
+add("external_goal_file", CONTESTS + APP + ["ext as (select league, team, d, venue, 0.3 + 0.8 * avg(gf) as xg from app where not (team % 11 = 3 and venue = 'A') group by all)"],
+    f"""select case when team = 0 then 'FC Zero' else 'T' || team end as club, count(*) as n, cast(sum(case when venue = 'H' then 1 else 0 end) as bigint) as at_home, {r('sum(xg)', 'xg')} from ext where league = 0 group by 1""")
 add("asof_ratings", CONTESTS + APP + RATED, f"select {KEY}, {DAY}, home, away, {rs('elo_home', 'elo_away')} from rated")
 add("asof_events", ["rt as (select user_id, ts as since, max(value) as value from events where event_type = 'purchase' group by all)"],
     f"select e.event_id, e.user_id, {r('case when rt.since + interval 3 day >= e.ts then rt.value end', 'value')} from (select * from events where event_type = 'click') e asof left join rt on rt.user_id = e.user_id and rt.since <= e.ts")
@@ -264,8 +279,8 @@ add("external_goal_lookup", CONTESTS + APP + ["ext as (select team, d, venue, 0.
 
 
 def newton(name: str, goals: str) -> list[str]:
-    """Two-parameter Poisson regression by Newton steps, each one pass over the rated matches."""
-    return [f"{name} as (select ln((select avg({goals}) from rd)) as b0, {d(0.0)} as b1, 0 as n union all select b0 + (g0 * h11 - g1 * h01) / (h00 * h11 - h01 * h01), b1 + (g1 * h00 - g0 * h01) / (h00 * h11 - h01 * h01), n + 1 from (select b0, b1, n, sum({goals} - m) as g0, sum(({goals} - m) * x) as g1, sum(m) as h00, sum(m * x) as h01, sum(m * x * x) as h11 from (select b0, b1, n, x, gh, ga, exp(b0 + b1 * x) as m from {name}, rd where n < 12) group by b0, b1, n))"]
+    """Two-parameter Poisson regression with a penalty on the slope, by Newton steps over the rated matches."""
+    return [f"{name} as (select ln((select avg({goals}) from rd)) as b0, {d(0.0)} as b1, 0 as n union all select b0 + (g0 * h11 - g1 * h01) / (h00 * h11 - h01 * h01), b1 + (g1 * h00 - g0 * h01) / (h00 * h11 - h01 * h01), n + 1 from (select b0, b1, n, sum({goals} - m) as g0, sum(({goals} - m) * x) - 1e-4 * count(*) * b1 as g1, sum(m) as h00, sum(m * x) as h01, sum(m * x * x) + 1e-4 * count(*) as h11 from (select b0, b1, n, x, gh, ga, exp(b0 + b1 * x) as m from {name}, rd where n < 12) group by b0, b1, n))"]
 
 
 add("rating_regression", CONTESTS + APP + RATED + ["rd as (select elo_home - elo_away as x, gh, ga from rated where elo_home is not null and elo_away is not null)"] + newton("fh", "gh") + newton("fa", "ga"),
@@ -303,6 +318,7 @@ add("backtest_by_league", once(PROD + scored("sc", "pd")), f"select league, seas
 add("confusion_matrix", PROD + scored("sc", "pd"), "select c as actual, " + ", ".join(f"(select count(*) from sc where actual = c and pred = '{k}') as pred_{k.lower()}" for k in "1X2") + " from (select unnest(['1', 'X', '2']) as c)")
 add("class_report", PROD + scored("sc", "pd") + ["cr as (select c as label, (select count(*) from sc where actual = c) as support, (select count(*) from sc where pred = c) as said, (select count(*) from sc where pred = c and actual = c) as tp from (select unnest(['1', 'X', '2']) as c))"],
     f"select label, support, {r('coalesce(tp / nullif(said, 0), 0)', 'precision')}, {r('coalesce(tp / nullif(support, 0), 0)', 'recall')}, {r('coalesce(2.0 * tp / nullif(said + support, 0), 0)', 'f1')} from cr")
+ORACLES["result_file"] = ORACLES["class_report"]
 add("confidence_calibration", PROD + scored("sc", "pd", "first") + ["bn as (select league, floor((conf - 0.5) / 0.05 + 1e-9) as b, count(*) as n, avg(conf) as c, avg(case when hit then 1.0 else 0.0 end) as h from (select *, greatest(p1, px, p2) as conf from sc) where conf >= 0.5 and conf < 1 group by all having count(*) >= 50)"],
     f"select league, {r('sum(abs(c - h) * n) / sum(n)', 'calibration_gap')}, count(*) as bins from bn group by league")
 

@@ -25,6 +25,7 @@ from ..plans import slips as P
 from ..plans.components import FeatureConfig, components
 from ..sources import contests as K
 from ..sources import seasons as Q
+from ..sources import store as H
 from ..sources.store import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -196,6 +197,60 @@ def season_files_by_row(spark, sf):
         F.count(F.lit(1)).alias("matches"), F.count("OddsAvgH").alias("n_odds"), F.sum("OddsAvgH").alias("sum_h"), F.sum("FTAG").alias("away_goals")))
 
 
+def season_files_on_disk(spark, sf) -> str:
+    """Season files of all leagues in the shared folder: league 1 has some in Windows-1252, and league 0
+    a file without team columns."""
+    code = F.element_at(F.array(*[F.lit(c) for c in Q.LEAGUES]), F.regexp_extract("file", r"/L(\d+)/", 1).cast("int") + 1)
+    name = F.element_at(F.split("file", "/"), -1)
+    windows = (code == Q.LEAGUES[1]) & (F.regexp_extract("file", r"(\d+)\.txt$", 1).cast("int") % 3 == 2)
+    text = F.regexp_replace("line", r"T(\d+)", F.when(windows, "T\u2019$1").otherwise("T\u00e9$1"))
+    lines = season_lines(spark, sf).select(F.concat_ws("/", code, name).alias("file"), F.col("line_no").cast("long").alias("line_no"), text.alias("line"))
+    first = matches(spark, sf).where(F.col("league") == 0)
+    first = first.where(F.col("season") == first.agg(F.min("season")).first()[0])
+    bare = first.select(F.lit(f"{Q.LEAGUES[0]}/notes.txt").alias("file"), "match_seq", F.concat_ws(",", F.lit("I1"), "gh", "ga").alias("line"))
+    head = first.limit(1).select(F.lit(f"{Q.LEAGUES[0]}/notes.txt").alias("file"), F.lit(-1).cast("long").alias("match_seq"), F.lit("Div,FTHG,FTAG").alias("line"))
+    return H.stored_files(spark, "season-files", {"sf": sf}, lambda path: Q.write_files(lines.union(bare).union(head), path))
+
+
+@query
+def season_folder(spark, sf):
+    """Season files of all leagues read from their folders, each in its own encoding."""
+    t = Q.load_seasons(spark, f"{season_files_on_disk(spark, sf)}/*")
+    return out(t.groupBy(F.col("League").alias("league"), F.col("Season").alias("season")).agg(
+        F.count(F.lit(1)).alias("matches"), F.count("Date").alias("n_date"), F.count("OddsAvgH").alias("n_oddsavgh"),
+        F.sum("FTHG").cast("long").alias("home_goals"), F.sum("OddsAvgH").alias("sum_h"),
+        F.count_if(F.contains("HomeTeam", F.lit("\u2019")) & F.contains("AwayTeam", F.lit("\u2019"))).alias("n_quote"),
+        F.count_if(F.contains("HomeTeam", F.lit("\u00e9")) & F.contains("AwayTeam", F.lit("\u00e9"))).alias("n_accent"), F.min("Date").alias("first_date")))
+
+
+@query
+def league_files(spark, sf):
+    """One league by its code, dated rows only, seasons from the dates."""
+    t = Q.load_league(spark, season_files_on_disk(spark, sf), Q.LEAGUES[1])
+    return out(Q.coverage(t, [F.col("Season").cast("int").alias("season")]))
+
+
+@query
+def rejected_season_lines(spark, sf):
+    """Lines of the files that are no matches, by reason."""
+    r = Q.rejected_lines(Q.read_files(spark, f"{season_files_on_disk(spark, sf)}/*"))
+    return out(r.groupBy("reason").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query
+def match_store(spark, sf):
+    """Matches stored by league and season; the last seasons are written anew and read alone."""
+    m, recent = matches(spark, sf), last_season(spark, sf) - 2
+
+    def write(path: str) -> None:
+        H.write_matches(m.withColumn("gh", F.when(F.col("season") < recent, F.col("gh")).otherwise(F.lit(99))), path)
+        H.write_matches(m.where(F.col("season") >= recent), path)
+
+    path = H.stored_files(spark, "match-store", {"sf": sf}, write)
+    return out(H.read_matches(spark, path, recent).groupBy(F.col("league").cast("long").alias("league"), "season").agg(
+        F.count(F.lit(1)).alias("matches"), F.sum("gh").alias("home_goals"), F.sum("ga").alias("away_goals"), F.sum("o1").alias("sum_o1")))
+
+
 # ---------------------------------------------------------------- odds
 
 @query
@@ -335,6 +390,15 @@ def asof_ratings(spark, sf):
     return out(R.with_ratings(matches(spark, sf).select(*K.CORE), rating_history(spark, sf)).drop("gh", "ga"))
 
 
+@query
+def rating_file(spark, sf):
+    """Ratings written as a file of periods and read again."""
+    history = rating_history(spark, sf)
+    path = H.stored_files(spark, "ratings", {"sf": sf}, lambda to: Q.write_ratings(history, to))
+    r = Q.read_ratings(spark, path)
+    return out(r.groupBy("team").agg(F.count(F.lit(1)).alias("n"), F.avg("elo").alias("elo"), F.min("valid_from").alias("first_day"), F.max("valid_to").alias("last_day")))
+
+
 @query
 def asof_events(spark, sf):
     """J1 on event times: last purchase of the user within its three days of validity."""
@@ -361,6 +425,20 @@ def external_goals(spark, sf) -> DataFrame:
     return e.select(club.alias("club"), "d", F.when(F.col("venue") == "H", F.lit("h")).otherwise(F.lit("a")).alias("home_away"), "xg")
 
 
+@query
+def external_goal_file(spark, sf):
+    """External goals of one league read from a file."""
+    app = state.appearances(matches(spark, sf))
+    e = app.where(~((F.col("team") % 11 == 3) & (F.col("venue") == "A"))).groupBy("league", "team", "d", "venue").agg(
+        (F.lit(0.3) + F.lit(0.8) * F.avg("gf")).alias("xG"))
+    club = F.when(F.col("team") == 0, F.lit("FC Zero")).otherwise(F.concat(F.lit("T"), F.col("team").cast("string")))
+    rows = e.select(F.col("d").cast("timestamp").alias("date"), F.concat(F.lit("L"), F.col("league").cast("string")).alias("league"), club.alias("club_name"),
+                    F.when(F.col("venue") == "H", F.lit("h")).otherwise(F.lit("a")).alias("home_away"), "xG")
+    path = H.stored_files(spark, "external-goals", {"sf": sf}, lambda to: H.write_results(rows, to, "csv"))
+    x = Q.read_external_goals(spark, path, "L0")
+    return out(x.groupBy("club").agg(F.count("d").alias("n"), F.count_if(F.col("home_away") == "h").alias("at_home"), F.sum("xg").alias("xg")))
+
+
 @query
 def external_goal_lookup(spark, sf):
     """External goals joined by team, date and venue after renaming."""
@@ -467,6 +545,14 @@ def class_report(spark, sf):
     return out(M.class_report(M.scored(production(comps(spark, sf)))))
 
 
+@query
+def result_file(spark, sf):
+    """Results written as a file and read again."""
+    found = M.class_report(M.scored(production(comps(spark, sf))))
+    path = H.stored_files(spark, "class-report", {"sf": sf}, lambda to: H.write_results(found, to, "csv"))
+    return out(spark.read.option("header", True).schema(found.schema).csv(path))
+
+
 @query
 def confidence_calibration(spark, sf):
     """Declared against observed rates by confidence bin."""

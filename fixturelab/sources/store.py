@@ -14,13 +14,20 @@ _written: set[str] = set()
 
 
 def write_matches(df: DataFrame, path: str) -> None:
-    """Merged match table, laid out so that league and season filters prune folders."""
-    df.repartition("league", "season").write.mode("overwrite").partitionBy("league", "season").parquet(path)
+    """Merged match table, laid out so that league and season filters prune folders.
+
+    Only the folders of leagues and seasons in ``df`` are replaced; the others stay.
+    """
+    ordered = df.repartition("league", "season")
+    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("league", "season").parquet(path)
 
 
-def read_matches(spark: SparkSession, path: str, seasons: Sequence[int] | None = None) -> DataFrame:
+def read_matches(spark: SparkSession, path: str, first_season: int | None = None, leagues: Sequence[int] | None = None) -> DataFrame:
+    """The stored matches from a season on, of some leagues: other folders are not listed."""
     df = spark.read.parquet(path)
-    return df if seasons is None else df.where(df["season"].isin(list(seasons)))
+    if first_season is not None:
+        df = df.where(df["season"] >= first_season)
+    return df if leagues is None else df.where(df["league"].isin(list(leagues)))
 
 
 def write_results(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -55,3 +62,12 @@ def stored(spark: SparkSession, name: str, config: Mapping[str, object], build:
     df = cached_table(spark, path, build, force=path not in _written)
     _written.add(path)
     return df
+
+
+def stored_files(spark: SparkSession, name: str, config: Mapping[str, object], write: Callable[[str], None]) -> str:
+    """Folder in the shared one that ``write`` fills once in the life of this application."""
+    path = f"{shared_dir(spark)}/fixturelab/{spark.sparkContext.applicationId}/{config_key(name, config)}"
+    if path not in _written:
+        write(path)
+        _written.add(path)
+    return path
