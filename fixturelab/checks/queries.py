@@ -905,7 +905,7 @@ def _summary(p: DataFrame, model: str) -> DataFrame:
 def boosted_trees(spark, sf):
     """M3 M4: boosted trees on the components, all leagues, last season as test."""
     f = _feature_rows(spark, sf)
-    model = L.OneVsRestTrees(L.FEATURES, trees=10).fit(L.training_window(f, last_season(spark, sf)))
+    model = L.OneVsRestTrees(L.FEATURES).fit(L.training_window(f, last_season(spark, sf)))
     return out(_summary(model.predict(f.where(F.col("season") == last_season(spark, sf))), "boosted trees"))
 
 
@@ -916,8 +916,8 @@ def league_pooling(spark, sf):
     own = L.training_window(f.where(F.col("league") == HOME_LEAGUE), last_season(spark, sf))
     wide = own.unionByName(L.league_pool(L.training_window(f, last_season(spark, sf)), HOME_LEAGUE))
     test = f.where((F.col("season") == last_season(spark, sf)) & (F.col("league") == HOME_LEAGUE))
-    a = L.OneVsRestTrees(L.FEATURES, trees=5).fit(own).predict(test).select(*KEY, "actual", "p1", "px", "p2")
-    b = L.OneVsRestTrees(L.FEATURES, trees=5).fit(wide).predict(test).select(*KEY, "actual", "p1", "px", "p2")
+    a = L.OneVsRestTrees(L.FEATURES).fit(own).predict(test).select(*KEY, "actual", "p1", "px", "p2")
+    b = L.OneVsRestTrees(L.FEATURES).fit(wide).predict(test).select(*KEY, "actual", "p1", "px", "p2")
     r = C.report(C.pair_1x2(C.paired(b, a, KEY)).withColumn("scope", F.lit("pooled vs own league")), ["scope"], _cell())
     return out(r)
 
@@ -926,7 +926,7 @@ def league_pooling(spark, sf):
 def stacking(spark, sf):
     """Out-of-fold stacking against boosted trees and the statistical model."""
     f = _feature_rows(spark, sf)
-    p = L.stack(L.training_window(f, last_season(spark, sf)), f.where(F.col("season") == last_season(spark, sf)), trees=3)
+    p = L.stack(L.training_window(f, last_season(spark, sf)), f.where(F.col("season") == last_season(spark, sf)))
     p = stored(spark, "stacked", {"sf": sf}, lambda: p)
     stat, base, meta = ("s1", "sx", "s2"), ("g1", "gx", "g2"), ("p1", "px", "p2")
     parts = None
