@@ -354,6 +354,22 @@ from ..plans import search as G  # noqa: E402  (the fixed grids only)
 add("blend_weight_grid", FULL + [f"tc as (select test.*, f, o from test, {_cfg(G.blend_configs(), 'f, o')})"] + blend("bg", "tc", "f", "0.0", "o", extra=", f, o") + scored("sc", "bg"),
     f"select f as form, o as odds, count(*) as seasons, {r('avg(accuracy)', 'accuracy')}, {r('avg(rps)', 'rps')}, {r('avg(ph)', 'pred_home_share')} from (select f, o, season, avg(case when hit then 1.0 else 0.0 end) as accuracy, avg(rps) as rps, avg(case when pred = '1' then 1.0 else 0.0 end) as ph from sc group by all) group by all")
 
+from .queries import CONFIGS  # noqa: E402  (the fixed weights only)
+
+_mix = lambda x: f"greatest(0.05, case when wh + wf + wm + we > 0 then (wh * x{x}_hist + wf * x{x}_form + wm * x{x}_meet + we * x{x}_elo) / (wh + wf + wm + we) else x{x}_hist end) as x{x}"
+add("configuration_table", FULL + RATED + ["rd as (select elo_home - elo_away as x, gh, ga from rated where elo_home is not null and elo_away is not null and season < (select max(season) - 2 from contests))"]
+    + newton("fh", "gh") + newton("fa", "ga") + [
+    "ce as (select t.*, r.elo_home - r.elo_away as dx from test t join rated r on r.league = t.league and r.match_seq = t.match_seq)",
+    f"c0 as (select ce.*, f, m, o, e, dx is not null as elo_valid, exp(fh.b0 + fh.b1 * coalesce(dx, 0)) as xh_elo, exp(fa.b0 + fa.b1 * coalesce(dx, 0)) as xa_elo from ce, (select b0, b1 from fh where n = 12) fh, (select b0, b1 from fa where n = 12) fa, {_cfg(CONFIGS, 'f, m, o, e')})",
+    "c1 as (select *, case when meet_valid then m else 0.0 end as m0, case when elo_valid then e else 0.0 end as e0 from c0)",
+    "c2 as (select *, f + m0 + e0 + o as tt from c1)",
+    "c3 as (select *, f / greatest(tt, 1.0) as wf, m0 / greatest(tt, 1.0) as wm, e0 / greatest(tt, 1.0) as we, o / greatest(tt, 1.0) as wq from c2)",
+    "c4 as (select *, case when tt > 1 or abs(1 - wf - wm - we - wq) < 1e-12 then 0.0 else 1 - wf - wm - we - wq end as wh from c3)",
+    f"c5 as (select f, m, o, e, season, actual, q1, qx, q2, wq, {_mix('h')}, {_mix('a')} from c4)",
+    *grid("cg", "c5", "f, m, o, e, season, actual, q1, qx, q2, wq, xh, xa", "xh", "xa", "-0.1"),
+    "cm as (select *, (1 - wq) * b1 + wq * q1 as p1, (1 - wq) * bx + wq * qx as px, (1 - wq) * b2 + wq * q2 as p2 from cg)", *scored("sc", "cm")],
+    f"select {r('f', 'form')}, {r('m', 'meet')}, {r('o', 'odds')}, {r('e', 'elo')}, count(*) as n, {r('avg(case when hit then 1.0 else 0.0 end)', 'accuracy', 4)}, {r('avg(rps)', 'rps', 4)} from sc group by f, m, o, e")
+
 # ------------------------------------------------------------------ comparisons
 _pick = lambda s: f"case when p1_{s} >= px_{s} and p1_{s} >= p2_{s} then '1' when px_{s} >= p2_{s} then 'X' else '2' end"
 
