@@ -243,22 +243,23 @@ add("form_rest_venue", CONTESTS + APP, f"""select league, season, match_seq, {DA
  cast(datediff('day', lag(d) over o, d) as double) as rest_days, case lag(venue) over o when 'A' then 1.0 when 'H' then 0.0 end as last_was_away from app
  window w as (partition by league, team order by match_seq rows between 3 preceding and 1 preceding), o as (partition by league, team order by match_seq)""")
 add("congestion", CONTESTS + APP, f"select league, season, match_seq, team, venue, count(*) over (partition by league, team order by d range between interval 13 days preceding and interval 1 day preceding) as congestion from app")
-_stat = lambda n, h, a: f"list(case when venue = 'H' then {h} else {a} end) over"
-add("recent_statistics", CONTESTS + ["""sa as (select league, season, match_seq, d, home as team, 'H' as venue, hst as sf, ast as sa, hc as cf, ac as ca from contests union all select league, season, match_seq, d, away, 'A', ast, hst, ac, hc from contests)""",
+_STATS = ["""sa as (select league, season, match_seq, d, home as team, 'H' as venue, hst as sf, ast as sa, hc as cf, ac as ca from contests union all select league, season, match_seq, d, away, 'A', ast, hst, ac, hc from contests)""",
     """sl as (select *, list({'s': match_seq, 'sf': sf, 'sa': sa, 'cf': cf, 'ca': ca}) filter (where venue = 'H') over w as lh, list({'s': match_seq, 'sf': sf, 'sa': sa, 'cf': cf, 'ca': ca}) filter (where venue = 'A') over w as la from sa
  window w as (partition by league, team order by match_seq rows between unbounded preceding and 1 preceding))""",
-    "sp as (select *, list_concat(coalesce(list_sort(lh)[-5:], []), coalesce(list_sort(la)[-5:], [])) as l from sl)"],
+    "sp as (select *, list_concat(coalesce(list_sort(lh)[-5:], []), coalesce(list_sort(la)[-5:], [])) as l from sl)"]
+add("recent_statistics", CONTESTS + _STATS,
     f"select league, season, match_seq, {DAY}, team, venue, " + ", ".join(r(f"list_avg(list_transform(l, lambda x: x.{c}))", n) for c, n in (("sf", "shots_for"), ("sa", "shots_against"), ("cf", "corners_for"), ("ca", "corners_against"))) + " from sp")
 _pts = "case when gf > ga then 3 when gf = ga then 1 else 0 end"
 _stand = ["std as (select *, coalesce(sum(" + _pts + ") over w, 0) as points, count(*) over w as played from app window w as (partition by league, season, team order by match_seq rows between unbounded preceding and 1 preceding))"]
 add("progressive_standings", CONTESTS + APP + _stand, f"select {KEY}, team, venue, cast(points as bigint) as points, played from std")
 # the whole table of the season before every match: each team's latest total carried forward
-add("table_thresholds", CONTESTS + APP + _stand + [
+_PLACES = _stand + [
     "tm as (select league, season, team, count(*) over (partition by league, season) as teams from (select distinct league, season, team from app))",
     f"aft as (select league, season, team, match_seq, points + {_pts} as after from std)",
     """full_t as (select c.league, c.season, c.match_seq, t.team, t.teams, coalesce(a.after, 0) as pts from contests c join tm t on t.league = c.league and t.season = c.season
  asof left join aft a on a.league = t.league and a.season = t.season and a.team = t.team and a.match_seq < c.match_seq)""",
-    "thr as (select league, season, match_seq, max(teams) as teams, list_reverse_sort(list(pts)) as l from full_t group by all)"],
+    "thr as (select league, season, match_seq, max(teams) as teams, list_reverse_sort(list(pts)) as l from full_t group by all)"]
+add("table_thresholds", CONTESTS + APP + _PLACES,
     f"""select s.league, s.season, s.match_seq, s.team, s.venue, cast(s.points as bigint) as points, s.played, case when teams >= 17 then cast(s.points - l[17] as bigint) end as ahead_of_17, case when teams >= 17 then cast(s.points - l[6] as bigint) end as ahead_of_6
  from std s join thr t on t.league = s.league and t.season = s.season and t.match_seq = s.match_seq""")
 
@@ -311,6 +312,19 @@ add("over_blend", E1 + OVER("oa", "0.1", "0.0") + OVER("ob", "0.15", "0.2"),
     f"select a.league, a.season, a.match_seq, {r('a.bo', 'p_model')}, {r('0.5 * b.bo + 0.5 * b.q_over', 'p_blend')}, {r('a.q_over', 'p_market')}, case when a.over_actual then 1 else 0 end as over_actual from oa a join ob b on b.league = a.league and b.match_seq = a.match_seq")
 add("learner_features", E1, f"select {KEY}, actual, {rs('xh_hist', 'xa_hist', 'xh_form', 'xa_form')}, {r('case when meet_valid then xh_meet end', 'xh_meet')}, {r('case when meet_valid then xa_meet end', 'xa_meet')}, {rs('q1', 'qx', 'q2')} from comps")
 
+# a window for each value of each team, put beside the match by venue
+_GROUPS = E1 + RATED + _STATS + _PLACES + [
+    "gr as (select league, match_seq, venue, datediff('day', lag(d) over o, d) as rest_days, case lag(venue) over o when 'A' then 1 when 'H' then 0 end as last_was_away from app window o as (partition by league, team order by match_seq))",
+    "gc as (select league, match_seq, venue, count(*) over (partition by league, team order by d range between interval 13 days preceding and interval 1 day preceding) as congestion from app)",
+    "gs as (select league, match_seq, venue, " + ", ".join(f"list_avg(list_transform(l, lambda x: x.{c})) as {n}" for c, n in (("sf", "shots_for"), ("sa", "shots_against"), ("cf", "corners_for"), ("ca", "corners_against"))) + " from sp)",
+    "gp as (select s.league, s.match_seq, s.venue, s.played, case when teams >= 17 then s.points - l[17] end as ahead_of_17, case when teams >= 17 then s.points - l[6] end as ahead_of_6 from std s join thr t on t.league = s.league and t.season = s.season and t.match_seq = s.match_seq)",
+    "ga_ as (select * from gr join gc using (league, match_seq, venue) join gs using (league, match_seq, venue) join gp using (league, match_seq, venue))"]
+_group_names = ("shots_for", "shots_against", "corners_for", "corners_against", "rest_days", "congestion", "last_was_away", "ahead_of_17", "ahead_of_6", "played")
+add("learner_feature_groups", _GROUPS, "select c.league, c.season, c.match_seq, " + ", ".join(r(f"c.{x}", x) for x in ("xh_hist", "xa_hist", "xh_form", "xa_form", "q1", "qx", "q2"))
+    + f", {r('case when meet_valid then xh_meet end', 'xh_meet')}, {r('case when meet_valid then xa_meet end', 'xa_meet')}, {r('elo_home')}, {r('elo_away')}, {r('elo_home - elo_away', 'elo_diff')}, "
+    + ", ".join(r(f"cast({p}.{n} as double)", f"{n}_{side}") for n in _group_names for p, side in (("h", "home"), ("a", "away")))
+    + " from comps c join rated q on q.league = c.league and q.match_seq = c.match_seq join ga_ h on h.league = c.league and h.match_seq = c.match_seq and h.venue = 'H' join ga_ a on a.league = c.league and a.match_seq = c.match_seq and a.venue = 'A'")
+
 # ------------------------------------------------------------------ backtest
 PROD = E1 + blend("pd", "comps", "0.10", "0.0", "0.90")
 add("backtest_metrics", once(PROD + scored("sc", "pd")), f"select coalesce(season, -1) as season, {METRICS} from sc group by rollup (season)")

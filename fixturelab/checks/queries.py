@@ -16,6 +16,7 @@ from ..functions import scores as S
 from ..operators import blocks, features, state
 from ..operators.asof import asof_backward
 from ..plans import compare as C
+from ..plans import feature_groups as FG
 from ..plans import forecast as Y
 from ..plans import learners as L
 from ..plans import metrics as M
@@ -514,6 +515,16 @@ def learner_features(spark, sf):
     return out(L.feature_table(comps(spark, sf)).drop("elo_home", "elo_away", "elo_diff"))
 
 
+GROUPS = ("ratings", "shots", "rest", "motivation")
+
+
+@query
+def learner_feature_groups(spark, sf):
+    """Feature table with every group switched on."""
+    f = FG.grouped_features(comps(spark, sf), matches(spark, sf), GROUPS, rated_matches(spark, sf), block_rows=4096)
+    return out(f.select(*KEY, *[c for c in f.columns if c not in (*KEY, "actual")]))
+
+
 def production(c: DataFrame) -> DataFrame:
     return B.blend_1x2(c, 0.10, 0.0, 0.90)
 
@@ -892,8 +903,11 @@ HOME_LEAGUE = 0
 
 
 def _feature_rows(spark, sf) -> DataFrame:
+    """Features with every group, and the probabilities of the statistical model."""
     c = production(comps(spark, sf)).withColumnsRenamed({"p1": "s1", "px": "sx", "p2": "s2"})
-    return stored(spark, "features", {"sf": sf}, lambda: L.feature_table(c, ["s1", "sx", "s2"]))
+    config = {"sf": sf, "groups": GROUPS, **FeatureConfig().key()}
+    return stored(spark, "features", config, lambda: FG.grouped_features(
+        c, matches(spark, sf), GROUPS, rated_matches(spark, sf), ["s1", "sx", "s2"], block_rows=4096))
 
 
 def _summary(p: DataFrame, model: str) -> DataFrame:
@@ -903,10 +917,14 @@ def _summary(p: DataFrame, model: str) -> DataFrame:
 
 @query
 def boosted_trees(spark, sf):
-    """M3 M4: boosted trees on the components, all leagues, last season as test."""
+    """M3 M4: boosted trees on the components, all leagues, last season as test; feature groups off and on."""
     f = _feature_rows(spark, sf)
-    model = L.OneVsRestTrees(L.FEATURES).fit(L.training_window(f, last_season(spark, sf)))
-    return out(_summary(model.predict(f.where(F.col("season") == last_season(spark, sf))), "boosted trees"))
+    train, test = L.training_window(f, last_season(spark, sf)), f.where(F.col("season") == last_season(spark, sf))
+    sets = {"components": (), "with ratings": ("ratings",), "with all groups": GROUPS}
+    models = {name: L.OneVsRestTrees(FG.feature_columns(groups)) for name, groups in sets.items()}
+    L.together(spark, [lambda m=m: m.fit(train) for m in models.values()])
+    parts = [_summary(m.predict(test), name) for name, m in models.items()]
+    return out(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
 
 @query
