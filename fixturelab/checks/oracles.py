@@ -509,3 +509,62 @@ add("meeting_prices", CONTESTS + ["""mp0 as (select *, coalesce(list({'home': ho
         ("e1", "(case when x.home = home then x.h else x.a end)"), ("ex", "x.d"), ("e2", "(case when x.home = home then x.a else x.h end)"))) + " from mp1)",
     *shin("sm_", "mp2", ["e1", "ex", "e2"])],
     f"select {KEY}, {DAY}, home, away, cast(len(met0) as int) as met, cast(k as int) as priced, {r('p0', 'q1')}, {r('p1', 'qx')}, {r('p2', 'q2')} from mp2 left join sm_ using (e1, ex, e2)")
+
+# ------------------------------------------------------------------ forecasts of fixtures
+_LAST = "(select max(season) from contests)"
+_price = lambda c: f"case when max(match_seq) % 3 <> 0 then max_by({c}, match_seq) end as {c}"
+FIXTURES = CONTESTS + [
+    f"fx as (select league, home, away, max(match_seq) as match_seq, {', '.join(_price(c) for c in ('o1', 'ox', 'o2', 'oover', 'ounder'))} from contests where season = {_LAST} group by league, home, away)",
+    f"seen as (select league, home as team from contests where season < {_LAST} union select league, away from contests where season < {_LAST})",
+    """fk as (select *, (select count(*) from seen s where s.league = fx.league and s.team = fx.home) > 0 and (select count(*) from seen s where s.league = fx.league and s.team = fx.away) > 0 as known from fx)"""]
+_venue_form = lambda v: f"coalesce(avg(gf) filter (where venue = '{v}' and k_venue <= 3), 0)"
+_ratio = lambda g, v: f"coalesce(sum(e * {g}) filter (where venue = '{v}') / sum(e) filter (where venue = '{v}'), 0)"
+_FORECAST = FIXTURES + APP + [
+    f"ha as (select *, row_number() over (partition by league, team order by match_seq desc) as k_all, row_number() over (partition by league, team, venue order by match_seq desc) as k_venue from app where season < {_LAST})",
+    f"""tf as (select league, team, {_ratio('gf', 'H')} as att_home, {_ratio('ga', 'H')} as def_home, {_ratio('gf', 'A')} as att_away, {_ratio('ga', 'A')} as def_away,
+ avg(gf) filter (where k_all <= 3) as form_gf, avg(ga) filter (where k_all <= 3) as form_ga, {_venue_form('H')} as form_home, {_venue_form('A')} as form_away from ha group by league, team)""",
+    "mf as (select league, sum(e * gf) / sum(e) as mh, sum(e * ga) / sum(e) as ma from ha where venue = 'H' group by league)",
+    f"pm as (select *, row_number() over (partition by league, least(home, away), greatest(home, away) order by match_seq desc) as k from contests where season < {_LAST})",
+    "pl_ as (select league, least(home, away) as lo, greatest(home, away) as hi, list({'home': home, 'gh': gh, 'ga': ga, 'h': coalesce(c1, o1), 'd': coalesce(cx, ox), 'a': coalesce(c2, o2)} order by match_seq) as met0 from pm where k <= 10 group by all)",
+    "f0_ as (select f.*, coalesce(met0, []) as met0, list_transform(coalesce(met0, []), lambda x: case when x.home = f.home then x.gh - x.ga else x.ga - x.gh end) as lead from fk f left join pl_ p on p.league = f.league and p.lo = least(f.home, f.away) and p.hi = greatest(f.home, f.away) where known)",
+    "f1_ as (select *, case when len(list_filter(met0, lambda x: x.home = home)) > 0 then list_filter(met0, lambda x: x.home = home) else met0 end as used from f0_)",
+    "f2_ as materialized (select *, " + ", ".join(f"case when len(used) > 0 then len(used) / list_sum(list_transform(used, lambda x: 1.0 / {v})) end as {n}" for n, v in (
+        ("e1", "(case when x.home = home then x.h else x.a end)"), ("ex", "x.d"), ("e2", "(case when x.home = home then x.a else x.h end)"))) + " from f1_)",
+    *shin("fm_", "f2_", ["e1", "ex", "e2"]), *shin("fo_", "fk", ["o1", "ox", "o2"]),
+    """f3_ as (select f.*, coalesce(o.p0, m.p0) as q1, coalesce(o.p1, m.p1) as qx, coalesce(o.p2, m.p2) as q2 from f2_ f left join fm_ m on m.e1 = f.e1 and m.ex = f.ex and m.e2 = f.e2
+ left join fo_ o on o.o1 = f.o1 and o.ox = f.ox and o.o2 = f.o2 and least(f.o1, f.ox, f.o2) > 1)""",
+    """f4_ as (select f.*, len(met0) as met, list_sum(list_transform(met0, lambda x: case when x.home = f.home then x.gh else x.ga end)) / len(met0) as met_gf, list_sum(list_transform(met0, lambda x: case when x.home = f.home then x.ga else x.gh end)) / len(met0) as met_ga,
+ len(list_filter(lead, lambda x: x > 0)) as met_won, len(list_filter(lead, lambda x: x = 0)) as met_drawn, len(list_filter(lead, lambda x: x < 0)) as met_lost,
+ h.att_home * a.def_away / ma as hh, a.att_away * h.def_home / mh as ah, case when h.form_home > 0 then h.form_home * greatest(a.form_ga, 0.3) / ma end as hf, case when a.form_away > 0 then a.form_away * greatest(h.form_ga, 0.3) / mh end as af, mh, ma
+ from f3_ f join tf h on h.league = f.league and h.team = f.home join tf a on a.league = f.league and a.team = f.away join mf on mf.league = f.league)""",
+    # 0.3 form, 0.2 meetings, 0.4 market: history takes the rest and what has no meetings or prices
+    """f5_ as (select *, case when met > 0 then 0.2::double else 0 end as wm, case when q1 is null then 0::double else 0.4 end as wq, coalesce(hf, hh) as hf_, coalesce(af, ah) as af_,
+ case when met > 0 then met_gf / ((mh + ma) / 2) * mh else hh end as hm, case when met > 0 then met_ga / ((mh + ma) / 2) * ma else ah end as am from f4_)""",
+    "f6_ as (select *, ((0.7 - wm - wq) * hh + 0.3 * hf_ + wm * hm) / (1.0 - wq) as xh, ((0.7 - wm - wq) * ah + 0.3 * af_ + wm * am) / (1.0 - wq) as xa from f5_)",
+    f"f7_ as (select *, ({cells('xh', 'xa', lambda i, j: i + j > 1)}) as over_one, ({cells('xh', 'xa', lambda i, j: True)}) as whole, xh * xa * least(greatest(-0.1, greatest(-1 / xh, -1 / xa)), least(1 / (xh * xa), 1.0)) as shift from f6_)",
+    *grid("f8_", "f7_", "*", "xh", "xa", "-0.1")]
+add("fixture_forecasts", _FORECAST, f"""select league, home, away, {rs('xh', 'xa')}, {r('(1 - wq) * b1 + wq * coalesce(q1, 0)', 'p1')}, {r('(1 - wq) * bx + wq * coalesce(qx, 0)', 'px')}, {r('(1 - wq) * b2 + wq * coalesce(q2, 0)', 'p2')},
+ {r('b1', 'p1_base')}, {r('bx', 'px_base')}, {r('b2', 'p2_base')}, case when q1 is null then 0 else 1 end as has_odds, {r('(over_one - shift) / whole', 'over15')}, {r('bo', 'over25')}, {r('1 - bo', 'under25')}, {r('xh + xa', 'goals')},
+ cast(met as int) as met, {rs('met_gf', 'met_ga')}, cast(met_won as int) as met_won, cast(met_drawn as int) as met_drawn, cast(met_lost as int) as met_lost, cast(null as varchar) as reason from f8_
+ union all select league, home, away, {', '.join('null' for _ in range(8))}, null, {', '.join('null' for _ in range(4))}, null, null, null, null, null, null, 'no history for a team' from fk where not known""")
+# with all weight on the market a slip's probabilities are those of the fixtures' own prices
+_BUILT = FIXTURES + shin("bo_", "fk", ["o1", "ox", "o2"]) + shin("bu_", "fk", ["oover", "ounder"]) + [
+    "b0_ as (select f.*, s.p0 as q1, s.p1 as qx, s.p2 as q2, case when least(oover, ounder) > 1 then u.p0 end as qo from fk f join bo_ s using (o1, ox, o2) left join bu_ u using (oover, ounder) where known and least(o1, ox, o2) > 1)",
+    "b1_ as (select *, greatest(q1, qx, q2) as cr, case when q1 >= qx and q1 >= q2 then o1 when qx >= q2 then ox else o2 end as pr, coalesce(greatest(qo, 1 - qo), 0) as ct from b0_)",
+    "b2_ as (select league, match_seq, greatest(cr, ct) as cf, case when ct > cr then case when qo >= 0.5 then oover else ounder end else pr end as price, case when ct > cr then 1 / oover + 1 / ounder - 1 else 1 / o1 + 1 / ox + 1 / o2 - 1 end as margin from b1_)",
+    "b3_ as (select * from b2_ where cf >= 0.55 qualify row_number() over (partition by league order by cf desc, match_seq) <= 13)"]
+add("slip_builder", _BUILT, f"""select league, count(*) as n_matches, {r('sum(ln(price))', 'multiplier')}, {r('product(cf)', 'p_all')}, {r('avg(cf)', 'mean_confidence')}, {r('avg(margin)', 'mean_margin')}, {r('-sum(ln(cf))', 'one_in')},
+ {r('product(cf) * (1 + sum((1 - cf) / cf))', 'p_at_least_n_minus_1')}, {r('product(price) * product(cf)', 'expected_return')} from b3_ group by league""")
+
+# ------------------------------------------------------------------ power
+_tail = lambda k, m: f"least(1.0, 2 * list_sum(list_transform(range(greatest(0, {m} - cast(6 * sqrt({k}) as bigint) - 60), {m} + 1), lambda j: exp(lgamma({k} + 1) - lgamma(j + 1) - lgamma({k} - j + 1) - {k} * ln(2.0::double)))))"
+_POWER = E1 + [f"cw as (select comps.*, w from comps, {_cfg([(w,) for w in (0.02, 0.05, 0.10, 0.15, 0.20)], 'w')})"] + blend("pw", "cw", "w", "0.0", "(1 - w)", extra=", w") + [
+    "mv as (select w as weight, league, match_seq, actual, p1 as p1_a, px as px_a, p2 as p2_a, q1 as p1_b, qx as px_b, q2 as p2_b from pw)"] + pair("pr", "mv", "weight, league, match_seq") + report("pr", "weight, league") + [
+    "pn as (select *, cast(only_a as double) / discordant as share, abs(only_a - only_b) / cast(discordant as double) as lean from rep_ where only_a <> only_b and p_value >= 0.05)",
+    # the normal approximation is off by less than 8 / sqrt(k) standard deviations: sizes outside can't be the first
+    "pk_ as (select weight, league, n, discordant, share, unnest(range(greatest(discordant + 1, cast(pow(greatest(1.95 / lean - 8 / 1.95, 0), 2) as bigint)), cast(pow(1.97 / lean + 8, 2) as bigint) + 80)) as k from pn)",
+    "pt as (select *, cast(round_even(k * share, 0) as bigint) as ka from pk_)",
+    f"pv_ as (select weight, league, n, discordant, k, {_tail('k', 'least(ka, k - ka)')} as p from pt)",
+    "pf as (select weight, league, min_by(cast(round_even(k / (discordant / cast(n as double)), 0) as bigint), k) as needed from pv_ where p < 0.05 group by weight, league)"]
+add("power_needed", _POWER, f"""select {r('weight')}, league, n, only_a, only_b, case when diff <> 0 and ci_low <= 0 and ci_high >= 0 then cast(round_even(n * pow((ci_high - ci_low) / 2 / abs(diff), 2), 0) as bigint) else -1 end as needed_score,
+ coalesce(needed, -1) as needed_accuracy from rep_ left join pf using (weight, league)""")
