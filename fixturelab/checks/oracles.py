@@ -568,3 +568,27 @@ _POWER = E1 + [f"cw as (select comps.*, w from comps, {_cfg([(w,) for w in (0.02
     "pf as (select weight, league, min_by(cast(round_even(k / (discordant / cast(n as double)), 0) as bigint), k) as needed from pv_ where p < 0.05 group by weight, league)"]
 add("power_needed", _POWER, f"""select {r('weight')}, league, n, only_a, only_b, case when diff <> 0 and ci_low <= 0 and ci_high >= 0 then cast(round_even(n * pow((ci_high - ci_low) / 2 / abs(diff), 2), 0) as bigint) else -1 end as needed_score,
  coalesce(needed, -1) as needed_accuracy from rep_ left join pf using (weight, league)""")
+
+# ------------------------------------------------------------------ external goals: earlier days only
+_days = "range between unbounded preceding and interval 1 day preceding"
+_pool = lambda x: f"(list_sum(list_transform(list_concat(lh, la), lambda z: z.{x})) / nullif(len(lh) + len(la), 0))"
+_EXTERNAL = FULL + [
+    "ext as (select team, d, venue, 0.3 + 0.8 * avg(gf) as xg from app where not (team % 11 = 3 and venue = 'A') group by team, d, venue)",
+    """cov as (select c.league, c.match_seq, c.d, c.home, c.away, h.xg as gh, a.xg as ga, pow(2, datediff('day', date '1998-01-01', c.d) / 730.0) as e
+ from contests c join ext h on h.team = c.home and h.d = c.d and h.venue = 'H' join ext a on a.team = c.away and a.d = c.d and a.venue = 'A')""",
+    f"xl as (select *, avg(gh) over w as run_home, avg(ga) over w as run_away from cov window w as (partition by league order by d {_days}))",
+    "xa_ as (select league, match_seq, d, home as team, 'H' as venue, gh as gf, ga, e from cov union all select league, match_seq, d, away, 'A', ga, gh, e from cov)",
+    f"""xt0 as (select *, coalesce(sum(e * gf) over v / sum(e) over v, 0) as gf_venue, coalesce(sum(e * ga) over v / sum(e) over v, 0) as ga_venue, count(*) over t as n_prior,
+ list({{'s': match_seq, 'gf': gf, 'ga': ga}}) filter (where venue = 'H') over t as l_h, list({{'s': match_seq, 'gf': gf, 'ga': ga}}) filter (where venue = 'A') over t as l_a
+ from xa_ window v as (partition by league, team, venue order by d {_days}), t as (partition by league, team order by d {_days}))""",
+    "xt1 as (select * exclude (l_h, l_a), coalesce(list_sort(l_h)[-3:], []) as lh, coalesce(list_sort(l_a)[-3:], []) as la from xt0)",
+    f"""xt as (select league, match_seq, venue, gf_venue, ga_venue, n_prior, coalesce({_pool('ga')}, 0) as form_ga,
+ coalesce(list_avg(list_transform(case when venue = 'H' then lh else la end, lambda z: z.gf)), 0) as form_venue_gf from xt1)""",
+    """xc0 as (select l.league, l.match_seq, run_home as mh, run_away as ma, h.gf_venue * a.ga_venue / run_away as hh, a.gf_venue * h.ga_venue / run_home as ah, h.form_venue_gf as hv, a.form_venue_gf as av, h.form_ga as hg, a.form_ga as ag
+ from xl l join xt h on h.league = l.league and h.match_seq = l.match_seq and h.venue = 'H' join xt a on a.league = l.league and a.match_seq = l.match_seq and a.venue = 'A' where h.n_prior > 0 and a.n_prior > 0)""",
+    "xc as (select league, match_seq, hh, ah, case when hv > 0 then hv * greatest(ag, 0.3) / ma else hh end as hf, case when av > 0 then av * greatest(hg, 0.3) / mh else ah end as af from xc0)",
+    "test_r as (select t.* from test t join xc using (league, match_seq))",
+    "test_x as (select t.* exclude (xh_hist, xa_hist, xh_form, xa_form), x.hh as xh_hist, x.ah as xa_hist, x.hf as xh_form, x.af as xa_form from test t join xc x on x.league = t.league and x.match_seq = t.match_seq)"]
+add("external_goals_backtest", _EXTERNAL + blend("br", "test_r", "0.10", "0.0", "0.90") + blend("bx_", "test_x", "0.10", "0.0", "0.90") + [
+    "al as (select 'goals' as model, season, actual, p1, px, p2 from br union all select 'external', season, actual, p1, px, p2 from bx_)", *scored("sc", "al")],
+    f"select model, season, {METRICS} from sc group by model, season")
