@@ -87,9 +87,13 @@ def forecast(history: DataFrame, fixtures: DataFrame, form: float = 0.0, meet: f
     f = prices_from_meetings(f.drop("q1", "qx", "q2"), [c for c in f.columns if c != "met"])
     f = f.withColumnsRenamed({"q1": "_m1", "qx": "_mx", "q2": "_m2"})
     have = {"o1", "ox", "o2"} <= set(fixtures.columns)
-    own = O.all_known(["o1", "ox", "o2"], above=1.0) if have else F.lit(False)
-    f = f.select("*", *[F.when(own, F.col(c) if have else F.lit(None).cast("double")).alias(f"_q_{c}") for c in ("o1", "ox", "o2")])
-    f = O.shin(f, ["_q_o1", "_q_ox", "_q_o2"], ["_f1", "_fx", "_f2"])
+    if have:
+        own = O.all_known(["o1", "ox", "o2"], above=1.0)
+        f = f.select("*", *[F.when(own, F.col(c)).alias(f"_q_{c}") for c in ("o1", "ox", "o2")])
+        f = O.shin(f, ["_q_o1", "_q_ox", "_q_o2"], ["_f1", "_fx", "_f2"])
+    else:
+        # no steps over constant nulls: the optimizer would unfold them all
+        f = f.select("*", *[F.lit(None).cast("double").alias(f"_f{k}") for k in "1x2"])
     f = f.select("*", *[F.coalesce(f"_f{k}", f"_m{k}").alias(f"q{k}") for k in "1x2"]).withColumn("has_odds", F.col("q1").isNotNull())
     mh, ma = F.col("mean_home"), F.col("mean_away")
     general, floor = (mh + ma) / F.lit(2.0), F.lit(CONCEDED_FLOOR)
