@@ -944,8 +944,9 @@ def league_pooling(spark, sf):
 def stacking(spark, sf):
     """Out-of-fold stacking against boosted trees and the statistical model."""
     f = _feature_rows(spark, sf)
-    p = L.stack(L.training_window(f, last_season(spark, sf)), f.where(F.col("season") == last_season(spark, sf)))
-    p = stored(spark, "stacked", {"sf": sf}, lambda: p)
+    test = F.col("season") == last_season(spark, sf)
+    config = {"sf": sf, "features": FG.feature_columns(["ratings"]), "folds": L.FOLDS}
+    p = stored(spark, "stacked", config, lambda: L.stack(L.training_window(f, last_season(spark, sf)), f.where(test), config["features"]))
     stat, base, meta = ("s1", "sx", "s2"), ("g1", "gx", "g2"), ("p1", "px", "p2")
     parts = None
     for name, a, b in (("stacking vs statistical", meta, stat), ("trees vs statistical", base, stat), ("stacking vs trees", meta, base)):
