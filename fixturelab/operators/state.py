@@ -20,6 +20,8 @@ from .blocks import block_of, earlier_rows, with_halo
 LOOKBACK = 1600
 HALF_LIFE = 730.0
 MAX_EXPONENT = 900.0
+# Half-lives of one span of weights: the square of its growth still fits a double.
+SPAN = 450
 
 TEAM_FIELDS = ["n_prior", "gf_venue", "ga_venue", "form_n", "form_gf", "form_ga",
                "form_venue_n", "form_venue_gf"]
@@ -44,6 +46,15 @@ def growth(date: Column, epoch: Column, half_life: float | None, span: Column |
     return F.when(span / F.lit(float(half_life)) <= MAX_EXPONENT, g).otherwise(F.raise_error(message).cast("double"))
 
 
+def spanned_growth(date: Column, epoch: Column, half_life: float | None) -> tuple[Column, Column]:
+    """The span of ``SPAN`` half-lives a date falls into, and the growth since the span's begin."""
+    if half_life is None or half_life <= 0:
+        return F.lit(0).cast("long"), F.lit(1.0)
+    ages = F.datediff(date, epoch).cast("double") / F.lit(float(half_life))
+    span = F.floor(ages / F.lit(float(SPAN)))
+    return span, F.pow(F.lit(2.0), ages - span * F.lit(float(SPAN)))
+
+
 def appearances(matches: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """Two rows per match: each team with its opponent, venue and goals for and against."""
     def side(team: str, opp: str, venue: str, gf: str, ga: str) -> Column:
@@ -180,19 +191,18 @@ def unbounded_state(matches: DataFrame, half_life: float | None = HALF_LIFE, n_f
 
     What earlier blocks leave to a league, a pair or a team is computed from the matches, one row for
     each cell that has matches, and travels with the block's own rows: all windows share one shuffle
-    by (league, block). The weights grow from the first date; a half-life so short that they don't
-    fit a double is refused.
+    by (league, block). The weights grow from the first date of a span of 450 half-lives; a block
+    holds one span, and what earlier spans left is rescaled, so a half-life may be as short as you like.
     """
     if order not in ("row", "day"):
         raise ValueError(f"unknown order {order!r}")
     base = matches.select("league", "season", "match_seq", "d", "home", "away", "gh", "ga", *carry)
-    first, until = base.agg(F.min("d"), F.max("d")).first()
-    if first is not None and half_life and half_life > 0 and (until - first).days / half_life > MAX_EXPONENT:
-        raise ValueError("half-life too short for the time span of the matches")
+    first = base.agg(F.min("d")).first()[0]
     at = F.col("match_seq") if order == "row" else F.unix_date("d")
-    base = base.select("*", *pair_columns(), growth(F.col("d"), F.lit(first).cast("date"), half_life).alias("_e"),
-                       at.cast("long").alias("_at"))
-    base = base.withColumn("_b", block_of("_at", block_rows if order == "row" else block_days))
+    span, weight = spanned_growth(F.col("d"), F.lit(first).cast("date"), half_life)
+    base = base.select("*", *pair_columns(), span.alias("_t"), weight.alias("_e"), at.cast("long").alias("_at"))
+    # neither term decreases along a league, so a block is one run of positions within one span
+    base = base.withColumn("_b", block_of("_at", block_rows if order == "row" else block_days) + F.col("_t"))
     own, e = F.col("_own"), F.col("_e")
     rows = base.withColumn("_own", F.lit(True))
     for left in (_league_carry(base), _pair_carry(base, n_meet), _team_carry(base, n_form)):
@@ -278,16 +288,49 @@ def _team_sums() -> dict[str, Column]:
     return sums
 
 
-def _earlier_totals(cells: DataFrame, keys: list[str], names: Sequence[str]) -> list[Column]:
-    before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    return [F.coalesce(F.sum(f"_t{n}").over(before), F.lit(0)).alias(f"_c{n}") for n in names]
+#: Sums that decay, by the sum of their weights; all others are plain.
+LEAGUE_DECAYED = {"_fw": ["_fw", "_fh", "_fa"]}
+TEAM_DECAYED = {f"_w{v}": [f"_w{v}", f"_f{v}", f"_g{v}"] for v in "ha"}
+
+
+def _earlier_totals(cells: DataFrame, keys: list[str], names: Sequence[str], decayed: dict[str, list[str]]) -> DataFrame:
+    """Add the sums of the earlier blocks of the keys (``_c``) to cells with a block's own (``_t``).
+
+    Decayed sums are in the scale of the block's span. Of earlier spans only the last one with a
+    weight counts, and the one right before that: anything older is below 2 ** -450 of it. If the
+    block's own span has no weight yet, all sums of that last span shrink alike, never to zero.
+    """
+    blocks = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    in_span = W.partitionBy(*keys, "_t")
+    spans = W.partitionBy(*keys).orderBy("_t")
+    shrunk = lambda n: F.pow(F.lit(2.0), F.lit(-float(SPAN)) * n)
+
+    def left(weight: str, of: list[str]) -> Column:
+        sums = [(F.sum(f"_t{n}").over(in_span)
+                 + F.coalesce(F.sum(f"_t{n}").over(spans.rangeBetween(-1, -1)), F.lit(0.0)) * shrunk(F.lit(1.0))).alias(n) for n in of]
+        return F.when(F.sum(f"_t{weight}").over(in_span) > 0, F.struct("_t", *sums)).alias(f"_left{weight}")
+
+    cells = cells.select("*", *[left(w, of) for w, of in decayed.items()])
+    cells = cells.select("*", *[F.max(f"_left{w}").over(spans.rangeBetween(W.unboundedPreceding, -1)).alias(f"_last{w}") for w in decayed])
+    held = {n: w for w, of in decayed.items() for n in of}
+
+    def carried(n: str) -> Column:
+        if n not in held:
+            return F.coalesce(F.sum(f"_t{n}").over(blocks), F.lit(0))
+        last = F.col(f"_last{held[n]}")
+        own = F.sum(f"_t{n}").over(in_span.orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
+        gap = F.least(F.col("_t") - last["_t"], F.lit(2)).cast("double")
+        return F.coalesce(own, F.lit(0.0)) + F.coalesce(last[n] * shrunk(gap), F.lit(0.0))
+
+    return cells.select("*", *[carried(n).alias(f"_c{n}") for n in names]).drop(*[f"_{p}{w}" for p in ("left", "last") for w in decayed])
 
 
 def _league_carry(base: DataFrame) -> DataFrame:
     """Sums of a league's earlier blocks, one row per league and block."""
     sums = _league_sums()
-    cells = base.groupBy("league", "_b").agg(*[F.sum(v).alias(f"_t{n}") for n, v in sums.items()])
-    return cells.select("league", "_b", *_earlier_totals(cells, ["league"], list(sums)))
+    cells = base.groupBy("league", "_b").agg(F.max("_t").alias("_t"), *[F.sum(v).alias(f"_t{n}") for n, v in sums.items()])
+    cells = _earlier_totals(cells, ["league"], list(sums), LEAGUE_DECAYED)
+    return cells.select("league", "_b", *[f"_c{n}" for n in sums])
 
 
 def _pair_carry(base: DataFrame, n: int) -> DataFrame:
@@ -304,14 +347,15 @@ def _pair_carry(base: DataFrame, n: int) -> DataFrame:
 def _team_carry(base: DataFrame, n: int) -> DataFrame:
     """A team's sums over earlier blocks and its last ``n`` rows at each venue, one row per team and block."""
     cell, sums, at_home = ["league", "team", "_b"], _team_sums(), F.col("venue") == "H"
-    rows = appearances(base, ["_b", "_e"]).repartition(*cell)
+    rows = appearances(base, ["_b", "_t", "_e"]).repartition(*cell)
     last = F.collect_list(F.struct("match_seq", "gf", "ga")).over(
         W.partitionBy(*cell, "venue").orderBy("match_seq").rowsBetween(1 - n, 0))
     rows = rows.withColumn("_l", F.struct("match_seq", last.alias("l")))
     cells = rows.groupBy(*cell).agg(
-        *[F.sum(v).alias(f"_t{k}") for k, v in sums.items()],
+        F.max("_t").alias("_t"), *[F.sum(v).alias(f"_t{k}") for k, v in sums.items()],
         F.max(F.when(at_home, F.col("_l")))["l"].alias("_h"), F.max(F.when(~at_home, F.col("_l")))["l"].alias("_a"))
-    cells = cells.select(*cell, "_h", "_a", *_earlier_totals(cells, ["league", "team"], list(sums)),
+    cells = _earlier_totals(cells, ["league", "team"], list(sums), TEAM_DECAYED)
+    cells = cells.select(*cell, "_h", "_a", *[f"_c{k}" for k in sums],
                          F.col("_h").isNotNull().alias("_has_h"), F.col("_a").isNotNull().alias("_has_a"))
     before = W.partitionBy("league", "team").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     for v in ("_h", "_a"):

@@ -102,7 +102,7 @@ def components(matches: DataFrame, config: FeatureConfig = FeatureConfig(), seas
     if seasons is not None and config.lookback is not None:
         starts = matches.where(F.col("season").isin(list(seasons))).groupBy("league").agg(
             (F.min("match_seq") - F.lit(config.lookback)).alias("_from"))
-        matches = matches.join(F.broadcast(starts), "league").where(F.col("match_seq") >= F.col("_from")).drop("_from")
+        matches = matches.join(starts, "league").where(F.col("match_seq") >= F.col("_from")).drop("_from")
     if config.lookback is not None:
         if config.order != "row":
             raise ValueError("a frame of rows needs order='row'")

@@ -68,7 +68,7 @@ def forecast(history: DataFrame, fixtures: DataFrame, form: float = 0.0, meet: f
     rejected = judged.where(F.col("reason").isNotNull())
     fixtures = judged.where(F.col("reason").isNull()).drop("reason")
     ref = history.groupBy("league").agg(F.max("d").alias("_ref"))
-    dated = history.join(F.broadcast(ref), "league")
+    dated = history.join(ref, "league")
     means = D.league_means(dated, F.col("_ref"), half_life)
     rows = appearances(dated, ["_ref"])
     team = D.team_strengths(rows, F.col("_ref"), half_life).join(team_form(rows, n_form), ["league", "team"])
@@ -78,8 +78,7 @@ def forecast(history: DataFrame, fixtures: DataFrame, form: float = 0.0, meet: f
     meetings = latest(meetings, ["league", "_lo", "_hi"], n_meet).groupBy("league", "_lo", "_hi").agg(
         F.sort_array(F.collect_list(F.struct("match_seq", "home", "gh", "ga", "_h", "_d", "_a"))).alias("_met"))
     f = fixtures.select("*", *pair).join(side("home", "h"), ["league", "home"]).join(side("away", "a"), ["league", "away"])
-    # a few numbers per league
-    f = f.join(F.broadcast(means), "league").join(meetings, ["league", "_lo", "_hi"], "left")
+    f = f.join(means, "league").join(meetings, ["league", "_lo", "_hi"], "left")
     f = f.withColumn("_met", F.coalesce("_met", F.filter(F.array(F.struct(
         F.lit(0).cast("long").alias("match_seq"), F.col("home"), F.lit(0).alias("gh"), F.lit(0).alias("ga"),
         *[F.lit(0.0).alias(c) for c in ("_h", "_d", "_a")])), lambda x: F.lit(False))))

@@ -47,9 +47,12 @@ def brute_force(rows, order: str, half_life: float = 730.0, n_form: int = 3, n_m
     out = {}
     for league, season, seq, d, home, away, gh, ga in rows:
         past = [r for r in rows if r[0] == league and (r[2] < seq if order == "row" else r[3] < d)]
-        weight = lambda r: 0.5 ** ((d - r[3]).days / half_life)
         mean = lambda rs, value: sum(map(value, rs)) / len(rs) if rs else None
-        heavy = lambda rs, k: sum(weight(r) * r[k] for r in rs) / sum(map(weight, rs)) if rs else None
+
+        def heavy(rs, k):
+            weight = lambda r: 0.5 ** ((rs[-1][3] - r[3]).days / half_life)
+            return sum(weight(r) * r[k] for r in rs) / sum(map(weight, rs)) if rs else None
+
         x = {"mean_home": heavy(past, 6), "mean_away": heavy(past, 7), "n_league": seq,
              "run_home": mean(past, lambda r: r[6]), "run_away": mean(past, lambda r: r[7])}
         met = [r for r in past if {r[4], r[5]} == {home, away}][-n_meet:]
@@ -106,10 +109,24 @@ def test_no_matches(spark):
     assert state.bounded_state(empty).count() == 0
 
 
-def test_a_half_life_too_short_is_refused(spark):
-    rows = [(0, 1993, 0, dt.date(1993, 1, 1), 1, 2, 5, 0), (0, 1998, 1, dt.date(1998, 1, 1), 1, 2, 0, 0)]
-    with pytest.raises(ValueError, match="half-life too short"):
-        state.unbounded_state(spark.createDataFrame(rows, SCHEMA), half_life=1.0)
+@pytest.mark.parametrize("order", ["row", "day"])
+def test_a_half_life_of_a_day_leaves_the_latest_match(spark, order):
+    day = [dt.date(2000, 1, 1), dt.date(2024, 1, 1), dt.date(2024, 1, 2), dt.date(2060, 1, 1)]
+    rows = [(0, d.year, k, d, 1, 2, 5 * (k == 1), 0) for k, d in enumerate(day)]
+    got = by_match(state.unbounded_state(spark.createDataFrame(rows, SCHEMA), half_life=1.0, order=order))
+    assert got[0, 1]["h_gf_venue"] == 0.0
+    assert got[0, 2]["h_gf_venue"] == pytest.approx(5.0, abs=0.01) == got[0, 2]["mean_home"]
+    # 36 years later the weights of both last matches are tiny, their ratio is not
+    assert got[0, 3]["h_gf_venue"] == pytest.approx(5.0 / 3.0) == got[0, 3]["mean_home"]
+
+
+@pytest.mark.parametrize("order,blocks", [("row", {"block_rows": 16}), ("row", {}), ("day", {"block_days": 30})])
+@pytest.mark.parametrize("half_life", [0.5, 2.0])
+def test_short_half_lives_equal_their_definition(spark, order, blocks, half_life):
+    rows = schedule(150)
+    got = by_match(state.unbounded_state(spark.createDataFrame(rows, SCHEMA), half_life, order=order, **blocks))
+    want = brute_force(rows, order, half_life)
+    same(want, {k: {c: v[c] for c in want[k]} for k, v in got.items()})
 
 
 def test_all_history_plan_is_lean(spark, tmp_path):
