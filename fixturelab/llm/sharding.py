@@ -20,6 +20,9 @@ from fixturelab.session import ship_package
 #: Multiplier of the generator of the jump hash (fixed value of the published algorithm).
 JUMP_MULTIPLIER = np.uint64(2862933555777941757)
 
+#: Slots of equal rows made at once.
+RUN = 1 << 16
+
 
 def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
     """Shard of each 64-bit key, all keys at once; about ln(shards) rounds are expected."""
@@ -76,12 +79,14 @@ def number_slots(df: DataFrame, shard: str, order: list[str], slot: str = "slot"
     sizes = counted.groupBy(F.col(shard), block.alias("_block")).agg(F.sum("_copies").alias("_rows"))
     before = W.partitionBy(shard).orderBy("_block")
     starts = sizes.select(shard, "_block", (F.sum("_rows").over(before) - F.col("_rows")).alias("_start"))
-    return (
+    # the run of equal rows in chunks, so that no array grows with it
+    runs = (
         placed.join(starts, [shard, "_block"])
         .withColumn("_from", F.col("_start") + F.col("_first"))
-        .withColumn(slot, F.explode(F.expr("sequence(_from, _from + _copies - 1)")))
-        .select(*columns, slot)
+        .withColumn("_end", F.col("_from") + F.col("_copies") - 1)
+        .withColumn("_chunk", F.explode(F.expr(f"sequence(_from, _end, {RUN}L)")))
     )
+    return runs.withColumn(slot, F.explode(F.expr(f"sequence(_chunk, least(_chunk + {RUN - 1}, _end))"))).select(*columns, slot)
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, key: str = "doc_id") -> DataFrame:

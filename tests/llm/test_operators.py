@@ -93,6 +93,17 @@ def test_jump_hash_is_the_published_one():
         assert sharding.jump_hash(keys, n).tolist() == [plain_jump(int(k), n) for k in keys]
 
 
+def test_slots_of_many_equal_rows(spark, monkeypatch):
+    """A run of equal rows is numbered in chunks; chunk bounds leave no gap."""
+    monkeypatch.setattr(sharding, "RUN", 7)
+    for copies in (1, 6, 7, 8, 14, 50):
+        df = spark.range(copies + 3).select(F.lit(0).alias("shard"), F.when(F.col("id") < copies, -1).otherwise(F.col("id")).alias("x"))
+        rows = sharding.number_slots(df, "shard", ["x"], blocks=2).collect()
+        assert sorted(r.slot for r in rows) == list(range(copies + 3))
+        own = sorted(r.slot for r in rows if r.x == -1)
+        assert own == list(range(own[0], own[0] + copies))
+
+
 def test_sharding(spark, awkward, nothing):
     rows = sharding.shard_documents(awkward).collect()
     source = awkward_rows()
