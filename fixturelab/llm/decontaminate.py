@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyspark.sql.functions as F
 import xxhash
 from pyspark.sql import DataFrame
@@ -442,7 +443,7 @@ def find_leaks(
     Words are runs without white space, without marks at their ends and in lower case; runs of marks
     alone don't count. Of several matches of one item the one with the fewest edits, then the first,
     is given. Null and empty texts match nothing and are matched by nothing; an item of fewer words
-    than ``settings.min_words`` too. Items with equal texts are searched once and all reported; null
+    than ``settings.min_words`` too (``unsearched_items`` lists them). Items with equal texts are searched once and all reported; null
     item ids stay null; each of several equal documents gets its rows. Benchmarks of any size are
     searched in blocks of ``settings.block_bytes`` of text, each in one pass without a shuffle.
     """
@@ -463,6 +464,21 @@ def find_leaks(
     )
 
 
+def unsearched_items(benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """``item_id`` and ``n_words`` of the items that ``find_leaks`` leaves out: those of fewer words
+    than ``settings.min_words``, null and empty texts (0 words) among them."""
+    kind = dict(benchmark.dtypes)["item_id"]
+    least = settings.min_words
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = pa.array([len(item_words(text or "")) for text in batch.column(1).to_pylist()], pa.int64())
+            found = pa.RecordBatch.from_arrays([batch.column(0), words], names=["item_id", "n_words"])
+            yield found.filter(pc.less(words, least))
+
+    return map_arrow(benchmark.select("item_id", "text"), short, f"item_id {kind}, n_words long")
+
+
 def drop_leaks(
     docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text"
 ) -> DataFrame:

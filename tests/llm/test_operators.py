@@ -525,6 +525,14 @@ def test_repetitions_follow_the_recall():
     assert few[0] >= many[0] and few[1] < many[1]
 
 
+def test_items_left_out_are_listed(spark):
+    rows = [(1, "one two three four"), (2, "one two three four five"), (3, None), (4, ""), (None, "a - b"), (6, "x " * 500)]
+    items = spark.createDataFrame(rows, "item_id long, text string").withColumn("n_words", F.lit("clash"))
+    got = {(r.item_id, r.n_words) for r in decontaminate.unsearched_items(items).collect()}
+    assert got == {(1, 4), (3, 0), (4, 0), (None, 2)}
+    assert decontaminate.unsearched_items(items.limit(0)).count() == 0
+
+
 def test_decontamination_of_awkward_rows(spark, awkward, nothing):
     copy = next(t for i, t, *_ in awkward_rows() if i == 6)
     bench = spark.createDataFrame([(1, copy), (2, None), (3, ""), (None, copy), (4, "one")], "item_id long, text string")
