@@ -9,7 +9,7 @@ import re
 import pyspark.sql.functions as F
 import pytest
 
-from fixturelab.operators import state
+from fixturelab.operators import blocks, state
 
 SCHEMA = "league int, season int, match_seq long, d date, home int, away int, gh int, ga int"
 
@@ -137,3 +137,26 @@ def test_all_history_plan_is_lean(spark, tmp_path):
     assert len(re.findall(r"FileScan parquet", plan)) <= 4
     assert len(re.findall(r"Exchange hashpartitioning", plan)) <= 9
     assert "Join" not in plan
+
+
+def test_a_task_takes_a_bounded_number_of_matches(spark, monkeypatch):
+    m = spark.createDataFrame(schedule(), SCHEMA)
+    monkeypatch.setattr(blocks, "TASK_ROWS", 100)
+    # 480 matches, each block of 50 with 40 more of the block before
+    assert state.bounded_state(m, lookback=40, block_rows=50).rdd.getNumPartitions() == 9
+    assert state.unbounded_state(m, block_rows=32).rdd.getNumPartitions() == 5
+    assert blocks.tasks_for(0) == 1 and blocks.tasks_for(1000, 500) == 2
+
+
+def test_blocks_grow_with_the_teams(spark):
+    rows = [(lg, 2000, k, dt.date(2000, 8, 1), k, k + 1, 1, 0) for lg, n in ((0, 200), (1, 20)) for k in range(n)]
+    m = spark.createDataFrame(rows, SCHEMA)
+    assert 64 * 180 < blocks.team_blocks(m, 64) < 64 * 220
+    assert blocks.team_blocks(m, 4) == 4096 and blocks.team_blocks(m.limit(0), 64) == 4096
+
+
+def test_pairs_that_never_met_leave_nothing(spark):
+    day = dt.date(2000, 8, 1)
+    rows = [(0, 2000, k, day, 2 * k, 2 * k + 1, 1, 0) for k in range(40)] + [(0, 2000, 40, day, 1, 0, 2, 2)]
+    base = spark.createDataFrame(rows, SCHEMA).select("*", *state.pair_columns(), blocks.block_of("match_seq", 8).alias("_b"))
+    assert [(r._lo, r._hi, r._b, len(r._cmet)) for r in state._pair_carry(base, 10).collect()] == [(0, 1, 5, 1)]
