@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from fixturelab.llm import fill_middle, secret_scan, spelling
@@ -285,6 +286,45 @@ def test_sample_is_bounded_and_ignores_repeats(spark):
     assert len({r["window"] for r in found}) == len(found)
 
 
+def test_all_candidates_are_learned_from(spark):
+    draw, settings = random.Random(8), secret_scan.Settings(shard=3_000)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, " ".join(random_key(draw, letters, 14) for _ in range(100))) for i in range(80)] + secret_docs(9, 30, "known")
+    wanted = set()
+    for _, text in rows:
+        spans = secret_scan.candidates(text, settings.shortest)
+        for span, known in zip(spans, secret_scan.touched(spans, secret_scan.rule_findings(text))):
+            wanted |= {(int(known), x) for x in secret_scan.windows(text, span, settings)}
+    found = secret_scan.labelled(spark.createDataFrame(awkward(rows + rows), SCHEMA), settings)
+    assert len(wanted) > 8_000 and sorted(wanted) == sorted((r["label"], r["window"]) for r in found.collect())
+    packed = secret_scan.shards(found, len(wanted), settings).collect()
+    labels = [np.frombuffer(r["labels"], np.uint8) for r in packed]
+    findings = sum(x for x, _ in wanted)
+    assert len(packed) == 3 and sum(map(len, labels)) == len(wanted) + findings
+    assert sum(x.sum() for x in labels) == 2 * findings
+
+
+def test_model_does_not_depend_on_partitions(spark):
+    settings = secret_scan.Settings(shard=100, epochs=2)
+    df = spark.createDataFrame(awkward(secret_docs(10, 60, "known")), SCHEMA)
+    one, other = (secret_scan.train(df.repartition(n), settings) for n in (1, 7))
+    for name in one:
+        np.testing.assert_allclose(one[name], other[name], rtol=1e-9 if name in ("calibration", "bars") else 0)
+
+
+def test_calibration_and_bars_of_rows_equal_the_plain_ones(spark):
+    draw = np.random.default_rng(11)
+    labels, assigned = (draw.random(4_000) < 0.1).astype(int), draw.random(4_000) < 0.3
+    logits = draw.normal(0, 2, 4_000) + 3 * labels
+    rows = spark.createDataFrame(pd.DataFrame({"logit": logits, "label": labels, "assigned": assigned}))
+    found = secret_scan.calibrated_rows(rows, 4_000, int(labels.sum()))
+    np.testing.assert_allclose(found, secret_scan.calibrated(logits, labels), rtol=1e-7)
+    for least in (20, 10_000):
+        settings = secret_scan.Settings(least=least)
+        assert secret_scan.bars_of(rows, settings) == secret_scan.bars(logits, labels, assigned.astype(float), settings)
+    assert secret_scan.bars_of(rows.where("label = 0"), settings) == (float("inf"), float("inf"))
+
+
 def test_without_findings_nothing_is_added(spark):
     for rows in ([], [(1, None), (2, "")], secret_docs(7, 20, "none")):
         df = spark.createDataFrame(awkward(rows), SCHEMA)
