@@ -180,3 +180,20 @@ def test_matches_needed(table):
 def test_interval_needed(spark):
     need = lambda low, high, diff: value(spark, x=compare.needed_for_score(*[F.lit(v) for v in (low, high, diff, 400)])).x
     assert need(-0.02, 0.01, -0.005) == 400 * 9 and need(-0.02, -0.01, -0.015) is None and need(-0.01, 0.01, 0.0) is None
+
+
+def test_top_scores_are_those_of_the_sorted_grid_and_come_from_batches(spark):
+    rows = [(k, 0.05 + (k * 37 % 400) / 100, 0.05 + (k * 53 % 300) / 100) for k in range(300)]
+    rows += [(300, 1.5, 1.5), (301, None, 1.0), (302, 0.05, None)]
+    rates = spark.createDataFrame(rows, "k int, l double, m double")
+    for rho in (-0.30, 0.0):
+        got = scores.top_scores(rates, "l", "m", rho, n=6)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" in plan and "array_sort" not in plan
+        got = {r.k: [tuple(x) for x in r.top_scores] for r in got.collect()}
+        for r in scores.score_grid(rates, "l", "m", rho).collect():
+            cells = sorted(r.grid, key=lambda x: (0 if x.p is None else -int(x.p * 1e12 + 0.5), x.i, x.j))[:6]
+            assert [s for s, _ in got[r.k]] == [f"{x.i}-{x.j}" for x in cells]
+            for (_, p), x in zip(got[r.k], cells):
+                assert p is None if x.p is None else p == pytest.approx(x.p, abs=1e-12)
+    assert scores.top_scores(rates.where("k < 0"), "l", "m", 0.0).count() == 0
