@@ -9,7 +9,7 @@ import pyspark.sql.functions as F
 import pytest
 
 from fixturelab.checks import queries as Q
-from fixturelab.operators import state
+from fixturelab.operators import features, state
 from fixturelab.plans import components as P
 
 from test_state import SCHEMA, by_match, same, schedule
@@ -49,3 +49,14 @@ def test_queries_that_compare_configurations_build_the_state_once(spark, monkeyp
     assert Q.closing_vs_opening(spark, "one-state").count() == 2
     Q.configuration_differences(spark, "one-state")
     assert len(built) == 1
+
+
+@pytest.mark.parametrize("build", [lambda m: features.recent_form(m, block_rows=64), lambda m: features.recent_mean(m, {"shots": ("hst", "ast")}, block_rows=64)])
+def test_what_blocks_leave_comes_from_the_shuffle_of_the_rows(spark, tmp_path, build):
+    m = spark.createDataFrame(schedule(240), SCHEMA)
+    m.select("*", F.col("gh").alias("hst"), F.col("ga").alias("ast")).write.parquet(str(tmp_path / "m"))
+    found = build(spark.read.parquet(str(tmp_path / "m")))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    # of the appearances with all their columns one shuffle, and one of the distinct cells where lists begin empty
+    assert "ReusedExchange" in plan
